@@ -97,9 +97,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
             ids, sizes, prints = batch.column(0), [], []
             for i in range(batch.num_rows):
                 tokens = shingles(batch.column(1)[i].as_py(), n, table)
-                counts += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32) if len(tokens) > 100_000 else 0
-                if len(tokens) <= 100_000:
-                    np.add.at(counts, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (tokens & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
                 sizes.append(len(tokens))
                 prints.append(fingerprint(tokens))
             none = pa.nulls(batch.num_rows)

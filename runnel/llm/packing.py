@@ -151,9 +151,7 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
 
     def place(batches):
         lengths, ranks, bases, offsets = table
-        wide = int(ranks.max(initial=0)) + 1
         starts = {n: np.searchsorted(lengths, [n, n + 1]) for n in np.unique(lengths).tolist()}
-        assert wide
         for batch in batches:
             length, rank = batch.column(2).to_numpy(), batch.column(5).to_numpy()
             where = np.empty(len(length), np.int64)

@@ -114,7 +114,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, counts of the base kinds, base_sha256, spans, top_score) for each row."""
     found = find_pii(docs.select("doc_id", "text"), out="__pii").select(F.col("doc_id").cast("bigint").alias("doc_id"), "__pii")
     base = F.filter("__pii", lambda s: s["kind_no"] < BASE)
-    counts = [F.size(F.filter("__pii", lambda s, k=k: s["kind_no"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+    count = lambda k: F.size(F.filter("__pii", lambda s: s["kind_no"] == k))
+    counts = [count(k).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(BASE)]
     top = F.array_max(F.transform("__pii", lambda s: s["score"])).alias("top_score")
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("__pii")).alias("spans"), top)
 

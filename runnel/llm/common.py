@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "map_rows", "shared_dir", "span_digest", "texts"]
+__all__ = ["cut", "few", "map_rows", "shared_dir", "span_digest", "texts"]
+
+#: Most rows that are broadcast instead of shuffled.
+SMALL = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Mark a narrow, checkpointed side for broadcast if it is counted to be small; else it is shuffled."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,13 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 from .graph import link_groups
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 12, 0.8, 8, 4
-#: Most rows that are broadcast instead of shuffled.
-SMALL = 1_000_000
-
 #: A shingle is read ahead from a word's start, then the word is passed over.
 _READ = rf"(?=(\S.{{0,{SHINGLE - 1}}}))\S++\s*+"
 
@@ -59,11 +56,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return flat.withColumn("line", F.regexp_replace("line", r"^\s++|(?<!\s)\s++$", "")).where("line != ''")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Mark a side for broadcast if it is counted to be small; else it is shuffled."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def line_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, line_id, label) of every line that isn't blank; equal labels are duplicates."""
     lines = _lines(docs)
@@ -73,8 +65,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     flat = signed.select(F.col("line_id").alias("id"), F.explode("bands").alias("key"))
     # keys that two different lines have; a line's copies meet in the partial sums
     shared = flat.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
-    posts = cut(flat.join(_few(cut(shared)), "key", "left_semi").distinct())
-    wanted = _few(cut(posts.select(F.col("id").alias("line_id")).distinct()))
+    posts = cut(flat.join(few(cut(shared)), "key", "left_semi").distinct())
+    wanted = few(cut(posts.select(F.col("id").alias("line_id")).distinct()))
     read = lines.select(F.xxhash64("line").alias("line_id"), "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"])
     hashed = cut(read.select(F.col("line_id").alias("id"), shingles(F.col("line")).alias("h")))
 
@@ -85,7 +77,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         return both.where(F.col("shared") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
     labels = cut(link_groups(posts.withColumn("rank", F.col("id")).withColumn("need", F.lit(1)), verify))
-    named = places.join(_few(labels.toDF("line_id", "label")), "line_id", "left")
+    named = places.join(few(labels.toDF("line_id", "label")), "line_id", "left")
     return named.withColumn("label", F.coalesce("label", "line_id"))
 
 
@@ -94,7 +86,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     classes = cut(line_classes(docs))
     # a class of one line has nothing to drop
     first = classes.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = classes.join(_few(cut(first.select("label", "first"))), "label")
+    placed = classes.join(few(cut(first.select("label", "first"))), "label")
     here = F.struct("doc_id", "text_hash", "pos")
     return placed.where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
 
@@ -104,7 +96,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null text stays null.  Existing columns of those two names are replaced.
     """
-    gone = _few(cut(dropped_lines(docs))).toDF("__id", "__hash", "__gone")
+    gone = few(cut(dropped_lines(docs))).toDF("__id", "__hash", "__gone")
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = rows["doc_id"].cast("bigint").eqNullSafe(gone["__id"]) & (rows["__h"] == gone["__hash"])
     wide = rows.join(gone, same, "left").withColumn("__lines", F.split("text", "\n"))

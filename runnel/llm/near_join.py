@@ -23,7 +23,6 @@ is named by its smallest id, and is null only if all its ids are.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,11 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, texts
+from .common import cut, few, map_rows, texts
 from .graph import link_groups
 
-WORD = re.compile("[^\\x20\\x09-\\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: Cells of the frequency table, and the pieces it travels in.
 CELLS, CHUNKS = 1 << 20, 16
 #: Longest multi-match, and the cost of a verification in list entries.
@@ -49,10 +46,10 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 class _Words(dict):
     """Word to 64-bit hash, in a table of bounded size."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
@@ -62,22 +59,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, n: int, table: dict[str, int]) -> np.ndarray:
-    """Sorted distinct fingerprints (uint64) of the n-word shingles.
+def shingles(text: bytes, n: int, table: dict[bytes, int]) -> np.ndarray:
+    """Sorted distinct fingerprints (uint64) of the n-word shingles of a UTF-8 text.
 
     Fewer words than n are one shingle, the whole sequence; its length is
-    part of the fingerprint.  A to Z are lower-cased, nothing else.
+    part of the fingerprint.  On bytes, ``lower`` and ``split`` know ASCII only:
+    A to Z are lower-cased, and words end at 09 to 0D and 20.
     """
-    words = WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower())
+    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     hashed = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
-    with np.errstate(over="ignore"):
-        total = np.full(len(words) - width + 1, np.uint64(width) * _M1, np.uint64)
-        for i in range(width):
-            total = _mix(total * _M1 + hashed[i : len(words) - width + 1 + i])
-    return np.unique(total)
+    size = len(words) - width + 1
+    total = np.full(size, np.uint64(width), np.uint64)
+    for i in range(width):
+        total *= _M1
+        total += hashed[i : size + i]
+    return np.unique(_mix(total))
+
+
+def first_tokens(tokens: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` tokens by (count, token); counts over a million are alike."""
+    rare = np.minimum(counts[(tokens & np.uint64(CELLS - 1)).astype(np.int64)], np.uint32((1 << 20) - 1))
+    place = (rare.astype(np.uint64) << np.uint64(44)) | (tokens >> np.uint64(20))
+    if length < len(tokens):
+        part = np.argpartition(place, length - 1)[:length]
+        if np.count_nonzero(place <= place[part].max()) > length:  # a tie at the border
+            return tokens[np.lexsort((tokens, rare))[:length]]
+        part.sort()
+        tokens, place = tokens[part], place[part]
+    return tokens[np.argsort(place, kind="stable")]
 
 
 def fingerprint(tokens: np.ndarray) -> int:
@@ -95,8 +107,8 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
         table, counts, task = _Words(), np.zeros(CELLS, np.uint32), TaskContext.get().partitionId()
         for batch in batches:
             ids, sizes, prints = batch.column(0), [], []
-            for i in range(batch.num_rows):
-                tokens = shingles(batch.column(1)[i].as_py(), n, table)
+            for text in batch.column(1).cast(pa.binary()):
+                tokens = shingles(text.as_py(), n, table)
                 np.add.at(counts, (tokens & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
                 sizes.append(len(tokens))
                 prints.append(fingerprint(tokens))
@@ -154,8 +166,8 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequency: np.ndarray) -> D
         table, counts, seen = _Words(), sent.value, set()
         for batch in batches:
             prints, sizes, lists = [], [], []
-            for i in range(batch.num_rows):
-                tokens = shingles(batch.column(1)[i].as_py(), n, table)
+            for text in batch.column(1).cast(pa.binary()):
+                tokens = shingles(text.as_py(), n, table)
                 fp = fingerprint(tokens)
                 if not len(tokens) or fp in seen:  # copies in this task add nothing
                     continue
@@ -164,10 +176,9 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequency: np.ndarray) -> D
                 seen.add(fp)
                 least = _least_overlap(len(tokens), percent)
                 length = len(tokens) - least + min(MOST, least)
-                order = np.lexsort((tokens, counts[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]))
                 prints.append(fp)
                 sizes.append(len(tokens))
-                lists.append(tokens[order[:length]].view(np.int64))
+                lists.append(first_tokens(tokens, counts, length).view(np.int64))
             if prints:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists), pa.int64()))
@@ -197,7 +208,7 @@ def _choose(posts: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(id, tokens): the sets of the wanted fingerprints, each from one of its documents."""
     sources = named.join(wanted, named["fp"] == wanted["id"], "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    keys = sources.select(F.col("doc_id").alias("__id")).distinct()
+    keys = few(cut(sources.select(F.col("doc_id").alias("__id")).distinct()))
     rows = texts(docs)
     rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["__id"]), "left_semi").select("text")
 
@@ -206,7 +217,7 @@ def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int) -> DataF
 
         def work(rows):
             for (text,) in rows:
-                tokens = shingles(text, n, table)
+                tokens = shingles(text.encode("utf-8", "replace"), n, table)
                 yield fingerprint(tokens), tokens.tobytes()
 
         return work
@@ -245,12 +256,16 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     described = cut(_describe(docs, n))
     named = described.where("chunk IS NULL").select("doc_id", "n", "fp")
     prefixes = _prefixes(docs, n, percent, _frequencies(described))
-    flat = prefixes.select("fp", "n", F.posexplode("tokens").alias("rank", "key"))
+    prefixes = cut(prefixes)
+    flat = prefixes.select(F.explode("tokens").alias("key"))
+    # keys met once are dropped before the postings are shuffled
+    lists = flat.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key")
+    at = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("rank").cast("bigint")).alias("at")
+    posts = prefixes.select("fp", "n", F.posexplode("tokens").alias("rank", "key")).select("key", F.col("fp").alias("id"), at)
     # several tasks may have seen the same set
-    posts = flat.select("key", F.col("fp").alias("id"), F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("rank").cast("bigint")).alias("at")).distinct()
-    lists = flat.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high").select("key")
-    shared = cut(posts.join(lists, "key"))
-    shared = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key")
+    shared = cut(posts.join(lists, "key").distinct())
+    lengths = shared.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = shared.join(lengths, "key")
     shared = shared.select("key", "id", "df", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("rank"))
     chosen = cut(_choose(shared, percent))
     several = chosen.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")

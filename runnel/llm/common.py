@@ -15,12 +15,29 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "few", "map_rows", "shared_dir", "span_digest", "texts"]
+__all__ = ["Memory", "cut", "few", "map_rows", "shared_dir", "span_digest", "texts"]
 
 #: Most rows that are broadcast instead of shuffled.
 SMALL = 1_000_000
 
 
+class Memory(dict):
+    """A bounded memo of ``make(key)``: two generations, so words in use stay."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        self.make, self.limit, self.old = make, limit // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def few(df: DataFrame) -> DataFrame:
     """Mark a narrow, checkpointed side for broadcast if it is counted to be small; else it is shuffled."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

@@ -12,6 +12,7 @@ Null and empty texts have the end id alone.  Repeated rows are packed each.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
@@ -22,40 +23,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import Memory, cut, texts
 
 END = 1
 SEQUENCE = 2048
 
 
+#: Texts of these characters alone need no normalisation but lower case.
+_PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÿ]*")
+#: The pre-tokens of the vocabulary's public pattern, for plain lower-cased text.
+_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
 class WordTokenizer:
-    """Exact ids of a tokenizer that never joins text across white space.
+    """Exact ids of the word BPE tokenizer, each distinct pre-token encoded once.
 
-    The text is cut at ASCII spaces, tabs and line ends; each distinct chunk is
-    encoded once by the tokenizer and kept in a table of bounded size.
+    Plain texts are cut into pre-tokens here.  Other texts, and texts that may
+    hold a special token's string, are cut at ASCII white space only, over
+    which the tokenizer never joins.
     """
 
-    def __init__(self, path: str, memory: int = 400_000) -> None:
+    def __init__(self, path: str, memory: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+        own = Tokenizer.from_file(path)
+        self.known = Memory(lambda word: np.array(own.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), memory)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = list({w for w in words if w not in known})
-        long: dict[str, bytes] = {}
-        if new:
-            if len(known) + len(new) > self.memory:
-                known.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (known if len(word) <= 64 else long)[word] = ids
-        if long:
-            return b"".join([long[w] if w in long else known[w] for w in words])
-        return b"".join([known[w] for w in words])
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            words = _WORDS.findall(text.lower())
+        else:
+            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

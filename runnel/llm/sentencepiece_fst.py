@@ -11,21 +11,23 @@ two neighbours are what BPE itself makes of their concatenation.  That is a
 bigram acceptor, so there arcs weigh 0 if the pair is compatible and infinity
 if it is not, and the shortest path is the only finite one.
 
-Where no piece holds a space after another character, a path never crosses the
-start of a word; words are then encoded on their own and remembered in a
-bounded table.  Null texts count as empty, and empty texts have no tokens.
+Arcs never cross a place whose two characters stand side by side in no piece.
+Characters that pieces connect, directly or through others, form families; a
+text is cut where a family ends and before each run of spaces (if no piece
+holds a space after another character).  The parts are encoded on their own and
+remembered in a table of bounded size.  Null texts count as empty, and empty texts have no tokens.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import Memory, map_rows, texts
 
 SPACE = "▁"
 INF = float("inf")
@@ -71,9 +73,7 @@ class Transducer:
     escape: bool = True
     squeeze: bool = False
     fallback: bool = True
-    memory: int = 400_000
-    _words: dict = field(default_factory=dict)
-    _pairs: dict = field(default_factory=dict)
+    memory: int = 700_000
 
     def __post_init__(self) -> None:
         usable = {NORMAL, USER_DEFINED}
@@ -97,7 +97,26 @@ class Transducer:
                 self._out.append(" ⁇ ".encode())
             else:
                 self._out.append(p.replace(SPACE, " ").encode())
-        self._split = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self._words, self._pairs = Memory(self._word, self.memory), Memory(self._compatible, self.memory)
+        apart = "".join(re.escape(c) for c in self._outsiders())
+        self._split = re.compile(f"{SPACE}*[{apart}]+|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+
+    def _outsiders(self) -> list[str]:
+        """Characters of pieces that no piece connects with a letter."""
+        up: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while up.setdefault(c, c) != c:
+                c = up[c]
+            return c
+
+        for p in self.lexicon:
+            p = p.lstrip(SPACE)
+            for a, b in zip(p, p[1:], strict=False):
+                up[find(a)] = find(b)
+        letters = {find(c) for c in list(up) if c.isalpha()}
+        chars = {p.lstrip(SPACE) for p in self.lexicon if len(p.lstrip(SPACE)) == 1} | set(up)
+        return sorted(c for c in chars if not c.isalpha() and find(c) not in letters)
 
     @classmethod
     def load(cls, data: bytes) -> "Transducer":
@@ -154,36 +173,35 @@ class Transducer:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def _weight(self, before: str | None, piece: str) -> float:
-        """The tropical weight of an arc after another."""
-        if self.kind != BPE:
-            j = self.lexicon.get(piece)
-            return self.penalty if j is None else -self.scores[j]
-        known = self._pairs.get((before, piece))
-        if known is None:
-            if len(self._pairs) >= self.memory:
-                self._pairs.clear()
-            good = self._merge(piece) == [piece] if before is None else self._merge(before + piece) == [before, piece]
-            known = self._pairs[before, piece] = 0.0 if good else INF
-        return known
+    def _compatible(self, pair: tuple[str | None, str]) -> bool:
+        """Whether BPE leaves two neighbours as they are (or one piece on its own)."""
+        before, piece = pair
+        return self._merge(piece) == [piece] if before is None else self._merge(before + piece) == [before, piece]
 
     def _shortest(self, word: str) -> list[str]:
-        """The shortest path through the lattice of one word.
+        """The shortest path through the lattice of one part.
 
         The best path to each position is enough as a state: a unigram arc has
-        no memory, and a BPE prefix has one encoding only.
+        no memory, and a BPE prefix has one encoding only, so there the first
+        arc of finite weight is the arc.
         """
-        n = len(word)
+        n, lexicon, bpe, pairs = len(word), self.lexicon, self.kind == BPE, self._pairs
         cost: list[float] = [0.0] + [INF] * n
         last: list[str | None] = [None] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - self.longest - 1), -1):
+            for start in range(max(0, end - self.longest), end):
                 if cost[start] == INF:
                     continue
                 piece = word[start:end]
-                if piece not in self.lexicon and end - start > 1:
+                known = lexicon.get(piece)
+                if known is None and end - start > 1:
+                    continue
+                if bpe:
+                    if pairs[last[start], piece]:
+                        cost[end], last[end] = 0.0, piece
+                        break
                     continue
-                w = cost[start] + self._weight(last[start] if start else None, piece)
+                w = cost[start] + (self.penalty if known is None else -self.scores[known])
                 if w < cost[end]:
                     cost[end], last[end] = w, piece
         out, at = [], n
@@ -206,19 +224,16 @@ class Transducer:
         return ids
 
     def _word(self, word: str) -> bytes:
-        found = np.array(self._emit(self._shortest(word)), "<i4").tobytes()
-        if len(word) <= 48:
-            if len(self._words) >= self.memory:
-                self._words.clear()
-            self._words[word] = found
-        return found
+        return np.array(self._emit(self._shortest(word)), "<i4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids, int32."""
         text = self.normalise(text)
         words = self._split.findall(text) if self.by_word else [text] * bool(text)
-        known, make = self._words.get, self._word
-        return np.frombuffer(b"".join([known(w) or make(w) for w in words]), "<i4")
+        if len(words) > 1 and not self.fallback:  # unknown neighbours are one token
+            ids = np.frombuffer(b"".join(map(self._words.__getitem__, words)), "<i4")
+            return ids[~((ids == self.unknown) & (np.concatenate([[-1], ids[:-1]]) == self.unknown))]
+        return np.frombuffer(b"".join(map(self._words.__getitem__, words)), "<i4")
 
     def decode(self, ids) -> str:
         """The text; bytes that aren't UTF-8 become U+FFFD."""

@@ -51,52 +51,67 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(roots.select("id", F.col("id").alias("label")))
 
 
+#: Groups of at least so many ids get a pivot.
+HOT = 32
+
+
 def link_groups(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matches: bool = False, spread: int = 4, rounds: int = 6) -> DataFrame:
     """(id, label): components of the verified links between ids that share a key.
 
-    ``posts(key, id, rank, need)`` holds distinct (key, id).  ``verify`` turns
-    candidate pairs (a, b) into those that are links.  With ``matches``, a pair
-    is a candidate if it shares at least the smaller ``need`` of the two.
+    ``posts(key, id, rank, need, size, most)`` holds distinct (key, id).  Two
+    ids meet at a key if neither's ``size`` exceeds the other's ``most`` there.
+    ``verify`` turns candidate pairs (a, b) into those that are links.  With
+    ``matches``, a pair is a candidate if it meets at as many keys as the
+    smaller ``need`` of the two.
 
-    A group of n is not expanded into its pairs.  First each member is tried
-    against one pivot of its group (the one of lowest rank), which joins a
-    group of copies at once.  Members that are then in one component need no
-    further pair.  While many pairs across components are left, further pivots
-    are tried; at the end every pair across components is tried, so no link
+    A large group is not expanded into its pairs.  First each of its members is
+    tried against one pivot (the one of lowest rank), which joins a group of
+    copies at once.  Members that are then in one component need no further
+    pair.  While many pairs across components are left, further pivots are
+    tried; at the end every pair across components is tried, so no link
     between components is missed.
     """
-    links, labels = None, None
+    links = labels = None
     for turn in range(rounds):
         if labels is None:
-            open_posts = posts.withColumn("label", F.col("id"))
+            named = posts.withColumn("label", F.col("id"))
         else:
             named = posts.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-            sizes = sizes.agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("labels > 1")
-            mixed = cut(sizes)
-            rows, across = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()
-            if not rows:
-                return labels
-            open_posts = cut(named.join(mixed.select("key"), "key", "left_semi"))
-            if across <= spread * rows or turn == rounds - 1:
-                break
+        # an id that is bound to partners smaller than all of its group meets nobody there
+        least = named.groupBy("key").agg(F.min("size").alias("least"))
+        named = cut(named.join(least, "key").where("most >= least").drop("least"))
+        sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        sizes = sizes.agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        mixed = cut(sizes.where("labels > 1"))
+        rows, across, largest = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.max("n")).first()
+        if not rows:
+            return components(links) if links is not None else posts.select("id", F.col("id").alias("label")).limit(0)
+        open_posts = cut(named.join(mixed.select("key", F.col("n").alias("members")), "key"))
+        if across <= spread * rows or largest < HOT or turn == rounds - 1:
+            break
         order = F.struct("rank", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id")
-        pivots = open_posts.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("label").alias("l"))).alias("p"))
-        pivots = pivots.select("key", F.col("p.o.id").alias("pivot"), F.col("p.l").alias("pivot_label"))
-        tried = open_posts.join(pivots, "key").where("label != pivot_label")
+        hot = open_posts.where(F.col("members") >= HOT)
+        pivots = hot.groupBy("key").agg(F.min(F.struct(order.alias("o"), "label", "size", "most")).alias("p"))
+        pivots = pivots.select("key", F.col("p.o.id").alias("pivot"), F.col("p.label").alias("pl"), F.col("p.size").alias("ps"), F.col("p.most").alias("pm"))
+        tried = hot.join(pivots, "key").where("label != pl AND size <= pm AND ps <= most")
         pairs = tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = cut(verify(pairs))
-        grown = found if links is None else links.unionAll(found)
-        if links is not None and not found.take(1):
-            links = grown
-            break  # pivots no longer help; try what is left
-        links = grown
+        if not found.take(1):
+            break  # pivots no longer help; what is left is tried in full
+        links = found if links is None else links.unionAll(found)
         labels = cut(components(links))
-    one = open_posts.select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("need").alias("na"))
-    two = open_posts.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("need").alias("nb"))
-    across = one.join(two, "key").where("la != lb AND a < b")
+    # pairs of components that meet at a key, then their members: never two of one component
+    met = open_posts.select("key", "label").distinct()
+    met = met.toDF("key", "la").join(met.toDF("key", "lb"), "key").where("la < lb")
+    sides = open_posts.select("key", "label", "id", "need", "size", "most")
+    one, two = sides.toDF("key", "la", "x", "nx", "sx", "mx"), sides.toDF("key", "lb", "y", "ny", "sy", "my")
+    one = met.join(one, ["key", "la"])
+    fit = (one["key"] == two["key"]) & (one["lb"] == two["lb"]) & (F.col("sx") <= F.col("my")) & (F.col("sy") <= F.col("mx"))
+    across = one.join(two, fit)
+    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny").alias("need"))
     if matches:
-        pairs = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("na", "nb")).alias("need")).where("n >= need").select("a", "b")
+        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
     else:
-        pairs = across.select("a", "b").distinct()
-    return components(links.unionAll(verify(pairs)))
+        pairs = pairs.select("a", "b").distinct()
+    found = verify(pairs)
+    return components(found if links is None else links.unionAll(found))

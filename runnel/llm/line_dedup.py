@@ -76,7 +76,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         both = both.where(near).withColumn("shared", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("shared") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
-    labels = cut(link_groups(posts.withColumn("rank", F.col("id")).withColumn("need", F.lit(1)), verify))
+    labels = cut(link_groups(posts.select("key", "id", F.col("id").alias("rank"), F.lit(1).alias("need"), F.lit(0).alias("size"), F.lit(0).alias("most")), verify))
     named = places.join(few(labels.toDF("line_id", "label")), "line_id", "left")
     return named.withColumn("label", F.coalesce("label", "line_id"))
 

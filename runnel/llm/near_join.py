@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,10 +189,12 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequency: np.ndarray) -> D
 
 
 def _choose(posts: DataFrame, percent: int) -> DataFrame:
-    """(key, id, rank, need): the postings of each document's adaptive prefix.
+    """(key, id, rank, need, size, most): the postings of each document's adaptive prefix.
 
     ``need`` is the document's l.  With s_l the length of the lists that its
-    first |x| - c + l tokens have, l minimises s_l + VERIFY * s_l / l.
+    first |x| - c + l tokens have, l minimises s_l + VERIFY * s_l / l.  ``most``
+    is the largest partner for which the token at ``rank`` may be among the
+    first l that both share: linked sets share t / (1 + t) of |x| + |y|.
     """
     from pyspark.sql import Window
 
@@ -202,7 +205,9 @@ def _choose(posts: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumns({f"s{l}": s for l, s in sums.items()})
     costs = F.array(*(F.when(F.col("least") >= l, F.struct((F.col(f"s{l}") * (1 + VERIFY / l)).alias("cost"), F.lit(l).alias("l"))) for l in range(1, MOST + 1)))
     need = F.array_min(F.filter(costs, lambda x: x.isNotNull()))["l"]
-    return rows.withColumn("need", need).where(F.col("rank") < F.col("n") - F.col("least") + F.col("need")).select("key", "id", "rank", "need")
+    rows = rows.withColumn("need", need).where(F.col("rank") < F.col("n") - F.col("least") + F.col("need"))
+    most = F.expr(f"(CAST(n AS BIGINT) + need - 1 - rank) * {100 + percent} div {percent} - n")
+    return rows.select("key", "id", "rank", "need", F.col("n").alias("size"), most.cast("int").alias("most")).where("most * 100 >= size * " + str(percent))
 
 
 def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -226,9 +231,13 @@ def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int) -> DataF
     return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _verifier(sets: DataFrame, percent: int):
-    """Pairs (a, b) to those whose sets link."""
-    sized = sets.select("id", "tokens", F.length("tokens").alias("size"))
+def _verifier(docs: DataFrame, named: DataFrame, n: int, percent: int):
+    """Pairs (a, b) to those whose sets link.
+
+    Sets are made from the texts when a pair first needs them, and kept in a
+    checkpoint; only those that pairs need are shuffled.
+    """
+    made: list[DataFrame] = []
 
     def make():
         def work(rows):
@@ -242,10 +251,19 @@ def _verifier(sets: DataFrame, percent: int):
         return work
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sizes = sized.select("id", "size")
-        fit = pairs.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b")
-        fit = fit.where(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent).select("a", "b")
-        both = fit.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        pairs = cut(pairs)
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        new = ids
+        for part in made:
+            new = new.join(part.select("id"), "id", "left_anti")
+        new = cut(new)
+        if new.take(1):
+            made.append(cut(_sets(docs, named, new, n)))
+        if not made:
+            return pairs
+        sets = reduce(DataFrame.unionAll, made).join(few(ids), "id", "left_semi").withColumn("size", F.length("tokens"))
+        one = pairs.join(sets.toDF("a", "x", "sx"), "a")
+        both = one.join(sets.toDF("b", "y", "sy"), "b").where(F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent)
         return map_rows(both.select("a", "b", "x", "y"), make, "a long, b long", step=256)
 
     return verify
@@ -270,8 +288,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     chosen = cut(_choose(shared, percent))
     several = chosen.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     chosen = cut(chosen.join(several, "key", "left_semi"))
-    sets = cut(_sets(docs, named, chosen.select("id").distinct(), n))
-    labels = cut(link_groups(chosen, _verifier(sets, percent), matches=True))
+    labels = cut(link_groups(chosen, _verifier(docs, named, n, percent), matches=True))
     own = named.join(labels, named["fp"] == labels["id"], "left").withColumn("label", F.coalesce("label", "fp"))
     full = own.where("n > 0")
     least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -52,10 +52,28 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 #: Groups of at least so many ids get a pivot.
-HOT = 32
+HOT = 16
 
 
-def link_groups(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matches: bool = False, spread: int = 4, rounds: int = 6) -> DataFrame:
+def _meet(posts: DataFrame) -> DataFrame:
+    """(a, b, need) at each key where members of two components meet.
+
+    Components are paired at a key first, then their members, so two members
+    of one component are never brought together.
+    """
+    met = posts.groupBy("key", "label").agg(F.min("size").alias("s"), F.max("most").alias("m"))
+    met = met.toDF("key", "la", "s1", "m1").join(met.toDF("key", "lb", "s2", "m2"), "key")
+    met = met.where("la < lb AND s1 <= m2 AND s2 <= m1").select("key", "la", "lb")
+    sides = posts.select("key", "label", "id", "need", "size", "most")
+    one, two = sides.toDF("key", "la", "x", "nx", "sx", "mx"), sides.toDF("key", "lb", "y", "ny", "sy", "my")
+    one = met.join(one, ["key", "la"])
+    fit = (one["key"] == two["key"]) & (one["lb"] == two["lb"]) & (F.col("sx") <= F.col("my")) & (F.col("sy") <= F.col("mx"))
+    return one.join(two, fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny").alias("need"))
+
+
+def link_groups(
+    posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matches: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None, spread: int = 4, rounds: int = 6
+) -> DataFrame:
     """(id, label): components of the verified links between ids that share a key.
 
     ``posts(key, id, rank, need, size, most)`` holds distinct (key, id).  Two
@@ -69,9 +87,10 @@ def link_groups(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matc
     copies at once.  Members that are then in one component need no further
     pair.  While many pairs across components are left, further pivots are
     tried; at the end every pair across components is tried, so no link
-    between components is missed.
+    between components is missed.  ``refine`` may then replace the keys of the
+    ids (id, label) in large groups by finer ones that all linked ids share.
     """
-    links = labels = None
+    links = labels = before = None
     for turn in range(rounds):
         if labels is None:
             named = posts.withColumn("label", F.col("id"))
@@ -87,8 +106,9 @@ def link_groups(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matc
         if not rows:
             return components(links) if links is not None else posts.select("id", F.col("id").alias("label")).limit(0)
         open_posts = cut(named.join(mixed.select("key", F.col("n").alias("members")), "key"))
-        if across <= spread * rows or largest < HOT or turn == rounds - 1:
-            break
+        if across <= spread * rows or largest < HOT or turn == rounds - 1 or before is not None and 2 * across > before:
+            break  # few pairs are left, or pivots no longer help
+        before = across
         order = F.struct("rank", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id")
         hot = open_posts.where(F.col("members") >= HOT)
         pivots = hot.groupBy("key").agg(F.min(F.struct(order.alias("o"), "label", "size", "most")).alias("p"))
@@ -97,18 +117,14 @@ def link_groups(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matc
         pairs = tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = cut(verify(pairs))
         if not found.take(1):
-            break  # pivots no longer help; what is left is tried in full
+            break
         links = found if links is None else links.unionAll(found)
         labels = cut(components(links))
-    # pairs of components that meet at a key, then their members: never two of one component
-    met = open_posts.select("key", "label").distinct()
-    met = met.toDF("key", "la").join(met.toDF("key", "lb"), "key").where("la < lb")
-    sides = open_posts.select("key", "label", "id", "need", "size", "most")
-    one, two = sides.toDF("key", "la", "x", "nx", "sx", "mx"), sides.toDF("key", "lb", "y", "ny", "sy", "my")
-    one = met.join(one, ["key", "la"])
-    fit = (one["key"] == two["key"]) & (one["lb"] == two["lb"]) & (F.col("sx") <= F.col("my")) & (F.col("sy") <= F.col("mx"))
-    across = one.join(two, fit)
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny").alias("need"))
+    if refine is None:
+        pairs = _meet(open_posts)
+    else:
+        finer = refine(open_posts.where(F.col("members") >= HOT).select("id", "label").distinct())
+        pairs = _meet(open_posts.where(F.col("members") < HOT)).unionAll(_meet(finer))
     if matches:
         pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
     else:

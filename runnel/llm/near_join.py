@@ -289,10 +289,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     several = chosen.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     chosen = cut(chosen.join(several, "key", "left_semi"))
     labels = cut(link_groups(chosen, _verifier(docs, named, n, percent), matches=True))
-    own = named.join(labels, named["fp"] == labels["id"], "left").withColumn("label", F.coalesce("label", "fp"))
+    own = named.join(few(labels), named["fp"] == labels["id"], "left").withColumn("label", F.coalesce("label", "fp"))
     full = own.where("n > 0")
-    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = full.join(least, "label").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+    # only components of several rows are named by join, so a large one is not a hot key of all rows
+    least = full.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    linked = full.join(few(cut(least.select("label", "least"))), "label", "left")
+    linked = linked.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     alone = own.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)
 

@@ -73,7 +73,7 @@ class Transducer:
     escape: bool = True
     squeeze: bool = False
     fallback: bool = True
-    memory: int = 700_000
+    memory: int = 1_500_000
 
     def __post_init__(self) -> None:
         usable = {NORMAL, USER_DEFINED}
@@ -97,7 +97,7 @@ class Transducer:
                 self._out.append(" ⁇ ".encode())
             else:
                 self._out.append(p.replace(SPACE, " ").encode())
-        self._words, self._pairs = Memory(self._word, self.memory), Memory(self._compatible, self.memory)
+        self._words, self._pairs = Memory(self._word, self.memory), Memory(self._compatible, self.memory // 2)
         apart = "".join(re.escape(c) for c in self._outsiders())
         self._split = re.compile(f"{SPACE}*[{apart}]+|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -185,25 +185,27 @@ class Transducer:
         no memory, and a BPE prefix has one encoding only, so there the first
         arc of finite weight is the arc.
         """
-        n, lexicon, bpe, pairs = len(word), self.lexicon, self.kind == BPE, self._pairs
-        cost: list[float] = [0.0] + [INF] * n
+        n, longest, lookup = len(word), self.longest, self.lexicon.get
         last: list[str | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if cost[start] == INF:
-                    continue
-                piece = word[start:end]
-                known = lexicon.get(piece)
-                if known is None and end - start > 1:
-                    continue
-                if bpe:
-                    if pairs[last[start], piece]:
-                        cost[end], last[end] = 0.0, piece
+        if self.kind == BPE:
+            pairs = self._pairs
+            for end in range(1, n + 1):
+                for start in range(end - longest if end > longest else 0, end):
+                    piece = word[start:end]
+                    if (lookup(piece) is not None or start + 1 == end) and pairs[last[start], piece]:
+                        last[end] = piece
                         break
-                    continue
-                w = cost[start] + (self.penalty if known is None else -self.scores[known])
-                if w < cost[end]:
-                    cost[end], last[end] = w, piece
+        else:
+            cost: list[float] = [0.0] + [INF] * n
+            for end in range(1, n + 1):
+                for start in range(max(0, end - longest), end):
+                    piece = word[start:end]
+                    known = lookup(piece)
+                    if known is None and start + 1 < end:
+                        continue
+                    w = cost[start] + (self.penalty if known is None else -self.scores[known])
+                    if w < cost[end]:
+                        cost[end], last[end] = w, piece
         out, at = [], n
         while at:
             out.append(last[at])

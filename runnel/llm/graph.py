@@ -51,8 +51,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionAll(roots.select("id", F.col("id").alias("label")))
 
 
-#: Groups of at least so many ids get a pivot.
-HOT = 16
+#: Groups of at least so many ids get pivots, and how many in a round.
+HOT, PIVOTS = 16, 4
 
 
 def _meet(posts: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def link_groups(
     smaller ``need`` of the two.
 
     A large group is not expanded into its pairs.  First each of its members is
-    tried against one pivot (the one of lowest rank), which joins a group of
+    tried against a few pivots (those of lowest rank), which join a group of
     copies at once.  Members that are then in one component need no further
     pair.  While many pairs across components are left, further pivots are
     tried; at the end every pair across components is tried, so no link
@@ -106,12 +106,13 @@ def link_groups(
         if not rows:
             return components(links) if links is not None else posts.select("id", F.col("id").alias("label")).limit(0)
         open_posts = cut(named.join(mixed.select("key", F.col("n").alias("members")), "key"))
-        if across <= spread * rows or largest < HOT or turn == rounds - 1 or before is not None and 2 * across > before:
+        if across <= spread * rows or largest < HOT or turn == rounds - 1 or before is not None and 4 * across > before:
             break  # few pairs are left, or pivots no longer help
         before = across
         order = F.struct("rank", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id")
         hot = open_posts.where(F.col("members") >= HOT)
-        pivots = hot.groupBy("key").agg(F.min(F.struct(order.alias("o"), "label", "size", "most")).alias("p"))
+        lots = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+        pivots = hot.groupBy("key", lots.alias("lot")).agg(F.min(F.struct(order.alias("o"), "label", "size", "most")).alias("p"))
         pivots = pivots.select("key", F.col("p.o.id").alias("pivot"), F.col("p.label").alias("pl"), F.col("p.size").alias("ps"), F.col("p.most").alias("pm"))
         tried = hot.join(pivots, "key").where("label != pl AND size <= pm AND ps <= most")
         pairs = tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()

@@ -98,7 +98,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
         most = F.expr(f"(size - rank) * {100 + PERCENT} div {PERCENT} - size").cast("int")
         return cut(ranked.where("df > 1").select("key", "id", "label", F.lit(1).alias("need"), "size", most.alias("most")).where(f"most * 100 >= size * {PERCENT}"))
 
-    labels = cut(link_groups(posts.select("key", "id", F.col("id").alias("rank"), F.lit(1).alias("need"), F.lit(0).alias("size"), F.lit(0).alias("most")), verify, refine=refine, spread=1))
+    # a group's pivot is the line that meets most others: of copies with edits, the one without
+    crowd = posts.join(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("id").agg((-F.sum("n")).alias("rank"))
+    posts = posts.join(crowd, "id").select("key", "id", "rank", F.lit(1).alias("need"), F.lit(0).alias("size"), F.lit(0).alias("most"))
+    labels = cut(link_groups(cut(posts), verify, refine=refine, spread=1))
     named = places.join(few(labels.toDF("line_id", "label")), "line_id", "left")
     return named.withColumn("label", F.coalesce("label", "line_id"))
 

@@ -61,9 +61,11 @@ def _meet(posts: DataFrame) -> DataFrame:
     Components are paired at a key first, then their members, so two members
     of one component are never brought together.
     """
-    met = posts.groupBy("key", "label").agg(F.min("size").alias("s"), F.max("most").alias("m"))
-    met = met.toDF("key", "la", "s1", "m1").join(met.toDF("key", "lb", "s2", "m2"), "key")
-    met = met.where("la < lb AND s1 <= m2 AND s2 <= m1").select("key", "la", "lb")
+    met = posts.groupBy("key", "label").agg(F.min("size").alias("s"), F.max("most").alias("m"), F.count(F.lit(1)).alias("c"))
+    met = met.toDF("key", "l1", "s1", "m1", "c1").join(met.toDF("key", "l2", "s2", "m2", "c2"), "key")
+    # the smaller component's members are brought in first
+    smaller = (F.col("c1") < F.col("c2")) | (F.col("c1") == F.col("c2")) & (F.col("l1") < F.col("l2"))
+    met = met.where(smaller & F.expr("s1 <= m2 AND s2 <= m1")).select("key", F.col("l1").alias("la"), F.col("l2").alias("lb"))
     sides = posts.select("key", "label", "id", "need", "size", "most")
     one, two = sides.toDF("key", "la", "x", "nx", "sx", "mx"), sides.toDF("key", "lb", "y", "ny", "sy", "my")
     one = met.join(one, ["key", "la"])

@@ -84,8 +84,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     hashed = cut(_read(docs, places, posts.select(F.col("id").alias("line_id")).distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(hashed.toDF("a", "x"), "a").join(hashed.toDF("b", "y"), "b")
-        x, y = F.size("x"), F.size("y")
+        x, y = F.col("sx"), F.col("sy")
+        both = pairs.join(hashed.toDF("a", "x").withColumn("sx", F.size("x")), "a").join(hashed.toDF("b", "y").withColumn("sy", F.size("y")), "b")
         both = both.where(100 * F.least(x, y) >= PERCENT * F.greatest(x, y)).withColumn("shared", F.size(F.array_intersect("x", "y")))
         return both.where(100 * F.col("shared") >= PERCENT * (x + y - F.col("shared"))).select("a", "b")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["Memory", "cut", "few", "map_rows", "shared_dir", "span_digest", "texts"]
+__all__ = ["Memory", "cut", "few", "map_rows", "settle", "shared_dir", "span_digest", "texts"]
 
 #: Most rows that are broadcast instead of shuffled.
 SMALL = 1_000_000
@@ -43,6 +43,18 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a narrow result, read in partitions that fit its number of rows.
+
+    What shuffles read next then has few map tasks where rows are few, and as
+    many as are needed where they are many.
+    """
+    made = cut(df)
+    spread = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    rows = made.coalesce(spread).count()
+    return made.coalesce(rows // 250_000 + 4)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; the scan reads two columns."""
     return docs.select(

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import settle
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -27,7 +27,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     round are checkpointed.  A hub's edges are spread by the skew join.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = cut(links.where("a != b").select(high.alias("a"), low.alias("b")).distinct())
+    edges = settle(links.where("a != b").select(high.alias("a"), low.alias("b")).distinct())
     before = _signature(edges)
     for _ in range(rounds):
         if not before[0]:
@@ -40,7 +40,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a != b").distinct())
+        edges = settle(small.where("a != b").distinct())
         after = _signature(edges)
         if after == before:
             break
@@ -100,14 +100,14 @@ def link_groups(
             named = posts.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # an id that is bound to partners smaller than all of its group meets nobody there
         least = named.groupBy("key").agg(F.min("size").alias("least"))
-        named = cut(named.join(least, "key").where("most >= least").drop("least"))
+        named = settle(named.join(least, "key").where("most >= least").drop("least"))
         sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
         sizes = sizes.agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        mixed = cut(sizes.where("labels > 1"))
+        mixed = settle(sizes.where("labels > 1"))
         rows, across, largest = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.max("n")).first()
         if not rows:
             return components(links) if links is not None else posts.select("id", F.col("id").alias("label")).limit(0)
-        open_posts = cut(named.join(mixed.select("key", F.col("n").alias("members")), "key"))
+        open_posts = settle(named.join(mixed.select("key", F.col("n").alias("members")), "key"))
         if across <= spread * rows or largest < HOT or turn == rounds - 1 or before is not None and 4 * across > before:
             break  # few pairs are left, or pivots no longer help
         before = across
@@ -118,11 +118,11 @@ def link_groups(
         pivots = pivots.select("key", F.col("p.o.id").alias("pivot"), F.col("p.label").alias("pl"), F.col("p.size").alias("ps"), F.col("p.most").alias("pm"))
         tried = hot.join(pivots, "key").where("label != pl AND size <= pm AND ps <= most")
         pairs = tried.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        found = cut(verify(pairs))
+        found = settle(verify(pairs))
         if not found.take(1):
             break
         links = found if links is None else links.unionAll(found)
-        labels = cut(components(links))
+        labels = settle(components(links))
     if refine is None:
         pairs = _meet(open_posts)
     else:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few
+from .common import cut, few, settle
 from .graph import link_groups
 
 SHINGLE, PERCENT, BANDS, ROWS = 12, 80, 6, 3
@@ -61,9 +61,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _read(docs: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, h): the shingles of the wanted lines, each read at one place; other documents' lines aren't split."""
-    at = places.join(few(cut(wanted)), "line_id", "left_semi").groupBy("line_id").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("at"))
-    at = cut(at.select("line_id", "at.*"))
-    owners = few(cut(at.select(F.col("doc_id").alias("__id")).distinct()))
+    at = places.join(few(settle(wanted)), "line_id", "left_semi").groupBy("line_id").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("at"))
+    at = settle(at.select("line_id", "at.*"))
+    owners = few(settle(at.select(F.col("doc_id").alias("__id")).distinct()))
     held = docs.join(owners, docs["doc_id"].cast("bigint").eqNullSafe(owners["__id"]), "left_semi")
     rows = _lines(held).withColumn("line_id", F.xxhash64("line"))
     same = rows["doc_id"].eqNullSafe(at["doc_id"]) & (rows["text_hash"] == at["text_hash"]) & (rows["pos"] == at["pos"]) & (rows["line_id"] == at["line_id"])
@@ -80,7 +80,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     flat = signed.select(F.col("line_id").alias("id"), F.explode("bands").alias("key"))
     # keys that two different lines have; a line's copies meet in the partial sums
     shared = flat.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
-    posts = cut(flat.join(few(cut(shared)), "key", "left_semi").distinct())
+    posts = settle(flat.join(few(settle(shared)), "key", "left_semi").distinct())
     hashed = cut(_read(docs, places, posts.select(F.col("id").alias("line_id")).distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -91,17 +91,17 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
     def refine(ids: DataFrame) -> DataFrame:
         """Prefix postings of lines: the rarest shingles, at most as many as duplicates can differ in."""
-        flat = cut(ids.join(hashed, "id").select("id", "label", F.size("h").alias("size"), F.explode("h").alias("key")))
+        flat = settle(ids.join(hashed, "id").select("id", "label", F.size("h").alias("size"), F.explode("h").alias("key")))
         counts = flat.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key")) - 1
         ranked = flat.join(counts, "key").withColumn("rank", place)
         most = F.expr(f"(size - rank) * {100 + PERCENT} div {PERCENT} - size").cast("int")
-        return cut(ranked.where("df > 1").select("key", "id", "label", F.lit(1).alias("need"), "size", most.alias("most")).where(f"most * 100 >= size * {PERCENT}"))
+        return settle(ranked.where("df > 1").select("key", "id", "label", F.lit(1).alias("need"), "size", most.alias("most")).where(f"most * 100 >= size * {PERCENT}"))
 
     # a group's pivot is the line that meets most others: of copies with edits, the one without
     crowd = posts.join(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("id").agg((-F.sum("n")).alias("rank"))
     posts = posts.join(crowd, "id").select("key", "id", "rank", F.lit(1).alias("need"), F.lit(0).alias("size"), F.lit(0).alias("most"))
-    labels = cut(link_groups(cut(posts), verify, refine=refine, spread=1))
+    labels = settle(link_groups(settle(posts), verify, refine=refine, spread=1))
     named = places.join(few(labels.toDF("line_id", "label")), "line_id", "left")
     return named.withColumn("label", F.coalesce("label", "line_id"))
 
@@ -111,7 +111,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     classes = cut(line_classes(docs))
     # a class of one line has nothing to drop
     first = classes.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = classes.join(few(cut(first.select("label", "first"))), "label")
+    placed = classes.join(few(settle(first.select("label", "first"))), "label")
     here = F.struct("doc_id", "text_hash", "pos")
     return placed.where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
 
@@ -121,12 +121,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A null text stays null.  Existing columns of those two names are replaced.
     """
-    gone = few(cut(dropped_lines(docs))).toDF("__id", "__hash", "__gone")
+    gone = few(settle(dropped_lines(docs))).toDF("__id", "__hash", "__gone")
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = rows["doc_id"].cast("bigint").eqNullSafe(gone["__id"]) & (rows["__h"] == gone["__hash"])
-    wide = rows.join(gone, same, "left").withColumn("__lines", F.split("text", "\n"))
-    kept = F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = wide.withColumn("text", text).withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint"))
+    wide = rows.join(gone, same, "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    out = wide.withColumn("n_lines", F.coalesce(ends + 1, F.lit(0)).cast("bigint"))
+    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     out = out.withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"))
-    return out.drop("__id", "__hash", "__gone", "__h", "__lines")
+    return out.drop("__id", "__hash", "__gone", "__h")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, few, map_rows, texts
+from .common import cut, few, map_rows, settle, texts
 from .graph import link_groups
 
 #: Cells of the frequency table, and the pieces it travels in.
@@ -213,7 +213,7 @@ def _choose(posts: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(id, tokens): the sets of the wanted fingerprints, each from one of its documents."""
     sources = named.join(wanted, named["fp"] == wanted["id"], "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    keys = few(cut(sources.select(F.col("doc_id").alias("__id")).distinct()))
+    keys = few(settle(sources.select(F.col("doc_id").alias("__id")).distinct()))
     rows = texts(docs)
     rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["__id"]), "left_semi").select("text")
 
@@ -251,12 +251,12 @@ def _verifier(docs: DataFrame, named: DataFrame, n: int, percent: int):
         return work
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        pairs = settle(pairs)
+        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         new = ids
         for part in made:
             new = new.join(part.select("id"), "id", "left_anti")
-        new = cut(new)
+        new = settle(new)
         if new.take(1):
             made.append(cut(_sets(docs, named, new, n)))
         if not made:
@@ -288,12 +288,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     chosen = cut(_choose(shared, percent))
     several = chosen.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     chosen = cut(chosen.join(several, "key", "left_semi"))
-    labels = cut(link_groups(chosen, _verifier(docs, named, n, percent), matches=True))
+    labels = settle(link_groups(chosen, _verifier(docs, named, n, percent), matches=True))
     own = named.join(few(labels), named["fp"] == labels["id"], "left").withColumn("label", F.coalesce("label", "fp"))
     full = own.where("n > 0")
     # only components of several rows are named by join, so a large one is not a hot key of all rows
     least = full.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    linked = full.join(few(cut(least.select("label", "least"))), "label", "left")
+    linked = full.join(few(settle(least.select("label", "least"))), "label", "left")
     linked = linked.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     alone = own.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)

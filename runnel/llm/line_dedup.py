@@ -40,16 +40,19 @@ def shingles(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def bands(hashes: Column, n: int = BANDS, rows: int = ROWS) -> Column:
-    """One hash for each band; ``hashes`` are sorted."""
-    step = (1 << 64) // n
-
-    def band(i: int) -> Column:
-        place = -(1 << 63) + i * step
-        ahead = hashes if i == 0 else F.concat(F.filter(hashes, lambda h: h >= F.lit(place)), F.slice(hashes, 1, rows))
-        return F.xxhash64(F.lit(i), F.array_distinct(F.slice(ahead, 1, rows)))
+def with_bands(df: DataFrame, hashes: str, n: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``df`` plus ``bands``, one hash for each; the array ``hashes`` is sorted.
 
-    return F.array(*(band(i) for i in range(n)))
+    The values from a place on are found among those from the place before, in
+    a column of their own, so each is looked at once a place.
+    """
+    step = (1 << 64) // n
+    for i in range(1, n):
+        place, before = F.lit(-(1 << 63) + i * step), hashes if i == 1 else f"__from{i - 1}"
+        df = df.withColumn(f"__from{i}", F.filter(before, lambda h: h >= place))
+    ahead = [F.col(hashes), *(F.concat(f"__from{i}", F.slice(hashes, 1, rows)) for i in range(1, n))]
+    each = [F.xxhash64(F.lit(i), F.array_distinct(F.slice(a, 1, rows))) for i, a in enumerate(ahead)]
+    return df.withColumn("bands", F.array(*each)).drop(*(f"__from{i}" for i in range(1, n)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, line_id, label) of every line that isn't blank; equal labels are duplicates."""
     lines = _lines(docs)
     signed = lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("line_id"), shingles(F.col("line")).alias("h"))
-    signed = cut(signed.select("doc_id", "text_hash", "pos", "line_id", bands(F.col("h")).alias("bands")))
+    signed = cut(with_bands(signed, "h").drop("h"))
     places = signed.select("doc_id", "text_hash", "pos", "line_id")
     flat = signed.select(F.col("line_id").alias("id"), F.explode("bands").alias("key"))
     # keys that two different lines have; a line's copies meet in the partial sums

@@ -37,6 +37,10 @@ class Memory(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 def few(df: DataFrame) -> DataFrame:
     """Mark a narrow, checkpointed side for broadcast if it is counted to be small; else it is shuffled."""

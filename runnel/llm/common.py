@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["Memory", "cut", "few", "map_rows", "settle", "shared_dir", "span_digest", "texts"]
+__all__ = ["Memory", "cut", "few", "map_rows", "settle", "shared_dir", "short_batches", "span_digest", "texts"]
 
 #: Most rows that are broadcast instead of shuffled.
 SMALL = 1_000_000
@@ -59,8 +59,16 @@ def settle(df: DataFrame) -> DataFrame:
     return made.coalesce(rows // 250_000 + 4)
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Bound what an Arrow batch of texts holds; a session that has set its own size keeps it."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; the scan reads two columns."""
+    short_batches(docs)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )

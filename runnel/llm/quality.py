@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
+from .common import map_rows, short_batches, texts
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE = 8192
@@ -190,6 +190,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     model = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((model.w0, model.w.astype(np.float32), model.v.astype(np.float32)))
     columns, at = docs.columns, docs.columns.index("text")
+    short_batches(docs)
 
     import pyarrow as pa
 

@@ -78,9 +78,11 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, line_id, label) of every line that isn't blank; equal labels are duplicates."""
     lines = _lines(docs)
     signed = lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("line_id"), shingles(F.col("line")).alias("h"))
-    signed = cut(with_bands(signed, "h").drop("h"))
+    # columns of their own are narrower in a checkpoint than an array
+    bands = [F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(BANDS)]
+    signed = cut(with_bands(signed, "h").select("doc_id", "text_hash", "pos", "line_id", *bands))
     places = signed.select("doc_id", "text_hash", "pos", "line_id")
-    flat = signed.select(F.col("line_id").alias("id"), F.explode("bands").alias("key"))
+    flat = signed.select(F.col("line_id").alias("id"), F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("key"))
     # keys that two different lines have; a line's copies meet in the partial sums
     shared = flat.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     posts = settle(flat.join(few(settle(shared)), "key", "left_semi").distinct())
@@ -111,7 +113,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, gone): the positions of the lines that go from each document."""
-    classes = cut(line_classes(docs))
+    classes = line_classes(docs)  # read twice: a broadcast join with a checkpoint of lines
     # a class of one line has nothing to drop
     first = classes.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = classes.join(few(settle(first.select("label", "first"))), "label")

@@ -32,6 +32,7 @@ from ..operators import (
 )
 from ..sources import array_source, counter, countdown, lines
 from ..stream import Stream, from_dense, from_table
+from .text import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -404,3 +405,38 @@ def array_sum(spark, d):
 def early_stop(spark, d):
     """A consumer that finishes ends its producers: a bound on seq reaches the scan."""
     return take(200)(splitjoin(split_duplicate(2), [_bump(0), _bump(0)], join_rr(1))(events(spark, d))).df
+
+
+TEXT = """
+int->int filter Add(int k) { work push 1 pop 1 { push(pop() + k); } }
+int->int splitjoin Both {
+  split roundrobin(2, 1);
+  add Add(1);
+  add int->int filter { work { push(pop() * 2); } };
+  join roundrobin(2, 1);
+}
+int->int pipeline Main { for (int i = 1; i < 3; i++) add Add(i); add Both; }
+int->int filter Window(int n) {
+  work { int t = 0; for (int i = 0; i < n; i++) t += peek(i) * (i + 1); push(t); pop(); }
+}
+int->int filter Swap { work { int a = pop(); int b = pop(); push(b); push(a); push(a < b ? 1 : 0); } }
+"""
+
+
+@query(f"WITH e AS ({E}) SELECT seq, CASE WHEN seq % 3 < 2 THEN v + 4 ELSE (v + 3) * 2 END AS v FROM e")
+def text_program(spark, d):
+    """A program in the stream language, from text to one plan."""
+    return load(spark, TEXT, "Main")(events(spark, d)).df
+
+
+@query(f"WITH e AS ({E}) SELECT a.seq, a.v + 2 * b.v + 3 * c.v AS v FROM e a JOIN e b ON b.seq = a.seq + 1 JOIN e c ON c.seq = a.seq + 2")
+def text_peek(spark, d):
+    return load(spark, TEXT, "Window", 3)(events(spark, d)).df
+
+
+@query(
+    f"""WITH e AS ({E}), p AS (SELECT a.seq // 2 AS f, a.v AS a, b.v AS b FROM e a JOIN e b ON b.seq = a.seq + 1 WHERE a.seq % 2 = 0)
+    SELECT f * 3 AS seq, b AS v FROM p UNION ALL SELECT f * 3 + 1, a FROM p UNION ALL SELECT f * 3 + 2, CASE WHEN a < b THEN 1 ELSE 0 END FROM p"""
+)
+def text_rates(spark, d):
+    return load(spark, TEXT, "Swap")(events(spark, d)).df

@@ -99,27 +99,28 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, fp), and at the end of each task its frequency table in chunks."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("chunk", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
+    """Rows (doc_id, text_hash, n, fp), and at the end of each task its frequency table in chunks."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("chunk", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         table, counts, task = _Words(), np.zeros(CELLS, np.uint32), TaskContext.get().partitionId()
         for batch in batches:
-            ids, sizes, prints = batch.column(0), [], []
+            ids, hashes, sizes, prints = batch.column(0), batch.column(2), [], []
             for text in batch.column(1).cast(pa.binary()):
                 tokens = shingles(text.as_py(), n, table)
                 np.add.at(counts, (tokens & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
                 sizes.append(len(tokens))
                 prints.append(fingerprint(tokens))
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if counts.any():
             for c, part in enumerate(np.split(counts, CHUNKS)):
                 yield pa.RecordBatch.from_pylist([{"chunk": c, "task": task, "counts": zlib.compress(part.astype("<u4").tobytes(), 1)}], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n int, fp long, chunk int, task int, counts binary")
+    rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, fp long, chunk int, task int, counts binary")
 
 
 def _sum_tables(rows: DataFrame) -> DataFrame:
@@ -269,10 +270,10 @@ def _verifier(docs: DataFrame, named: DataFrame, n: int, percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+def _labelled(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n, label) of each row; rows with equal labels and a set are linked."""
     described = cut(_describe(docs, n))
-    named = described.where("chunk IS NULL").select("doc_id", "n", "fp")
+    named = described.where("chunk IS NULL").select("doc_id", "text_hash", "n", "fp")
     prefixes = _prefixes(docs, n, percent, _frequencies(described))
     prefixes = cut(prefixes)
     flat = prefixes.select(F.explode("tokens").alias("key"))
@@ -289,7 +290,13 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     several = chosen.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
     chosen = cut(chosen.join(several, "key", "left_semi"))
     labels = settle(link_groups(chosen, _verifier(docs, named, n, percent), matches=True))
-    own = named.join(few(labels), named["fp"] == labels["id"], "left").withColumn("label", F.coalesce("label", "fp"))
+    own = named.join(few(labels), named["fp"] == labels["id"], "left")
+    return own.select("doc_id", "text_hash", "n", F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
+    own = _labelled(docs, n, percent)
     full = own.where("n > 0")
     # only components of several rows are named by join, so a large one is not a hot key of all rows
     least = full.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -300,10 +307,29 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
 
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` without those that have a near duplicate with a smaller id.
+    """``docs`` with one row of each component: the one of smallest id.
 
-    Rows with a null id, or an empty text, are kept.
+    Ties in the id are broken by a hash of the text, and of rows that repeat
+    id and text one stays; a row without an id stays only if none of its
+    component has one.  A row is judged by its id and text, so rows that share
+    an id but not their text don't go with each other.  Rows without words are
+    linked with nothing and stay.
     """
-    found = near_duplicates(docs, n, percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
+    own = _labelled(docs, n, percent).where("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("__none"), "doc_id", "text_hash")
+    first = own.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    placed = own.join(few(settle(first.select("label", "first"))), "label")
+    is_first = order.eqNullSafe(F.col("first"))
+    gone = few(settle(placed.where(~is_first).select("doc_id", "text_hash").distinct())).toDF("__id", "__hash")
+    again = settle(placed.where(is_first).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    again = few(again.select("doc_id", "text_hash")).toDF("__id", "__hash")
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+    def same(other: DataFrame):
+        return rows["doc_id"].cast("bigint").eqNullSafe(other["__id"]) & (rows["__h"] == other["__hash"])
+
+    kept = rows.join(gone, same(gone), "left_anti")
+    if again.take(1):
+        once = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__h"])
+        kept = kept.join(again, same(again), "left_anti").unionAll(once)
+    return kept.drop("__h")

@@ -48,6 +48,18 @@ def test_components_of_made_copies(spark, n, percent):
     assert got == sorted(brute.components(range(len(texts)), texts, n, percent))
 
 
+def test_one_of_each_group_stays(spark):
+    one, near = " ".join(WORDS[:60]), " ".join(WORDS[:59] + ["else"])
+    rows = [(5, one, 1), (5, one, 2), (5, near, 3), (7, one, 4), (7, "a text of its own words", 5), (None, near, 6), (9, "", 7), (9, "", 8), (9, None, 9)]
+    rows += [(None, "no id but these words", 10), (None, "no id but these words", 11), (3, "x y z", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __none int").repartition(3)
+    kept = near_join.keep_one(docs, 5, 80).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) in [
+        sorted([(5, t), (7, rows[4][1]), (9, ""), (9, ""), (9, None), (None, rows[9][1]), (3, "x y z")], key=str) for t in (one, near)
+    ]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "__none"}
+
+
 def test_components_of_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
     want = sorted(brute.components([r.doc_id for r in docs], [r.text for r in docs]))

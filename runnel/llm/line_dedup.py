@@ -1,7 +1,10 @@
 """Fuzzy line deduplication by MinHash, with built-in functions only.
 
 A line is the set of its character shingles: SHINGLE characters from the start
-of each word (fewer at its end).  Two lines are duplicates at Jaccard
+of each word (fewer at the line's end), or the whole word if that is longer.  A
+run of more than RUN characters without white space (an address, a line of an
+unspaced script) has a shingle at every character, as far as whole ones are left
+in it.  So every character counts.  Two lines are duplicates at Jaccard
 similarity PERCENT / 100 or more.
 
 Signature: the shingles' hashes are sorted and the circle of 64-bit values is
@@ -28,10 +31,13 @@ from .common import cut, few, settle
 from .graph import link_groups
 
 SHINGLE, PERCENT, BANDS, ROWS = 12, 80, 6, 3
+#: Longest word that is read as one; longer ones are runs.
+RUN = 2 * SHINGLE
 #: What is trimmed from a line's ends.
 BLANK = " \t\r\x0b\x0c"
-#: A shingle is read ahead from a word's start, then the word is passed over.
-_READ = rf"(?=(\S.{{0,{SHINGLE - 1}}}))\S++\s*+"
+#: A shingle is read ahead, then the word is passed over, or one character of a run while a whole shingle is left behind it.
+_AHEAD = rf"(?=((?<!\S)\S{{{SHINGLE + 1},{RUN}}}+(?!\S)|\S.{{0,{SHINGLE - 1}}}))"
+_READ = rf"(?s){_AHEAD}(?:(?<!\S)\S{{1,{RUN}}}+(?!\S)\s*+|\S(?=\S{{{SHINGLE}}})|\S++\s*+)"
 
 
 def shingles(line: Column) -> Column:

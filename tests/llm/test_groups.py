@@ -122,6 +122,37 @@ def test_deduped_lines(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def whole_set(line):
+    """Shingles from the definition: of words, and at every character of runs."""
+    out, at = set(), 0
+    for word in line.split(" "):
+        if len(word) > 24:
+            out |= {word[i : i + 12] for i in range(len(word) - 11)}
+        else:
+            out.add(word if len(word) > 12 else line[at : at + 12])
+        at += len(word) + 1
+    return frozenset(out)
+
+
+def test_long_words_count_whole(spark):
+    run = "".join(chr(0x4E00 + 7 * i % 997) for i in range(120))
+    lines = ["https://example.com/reports/2021/annual", "https://example.org/totally/other", "https://example.com/reports/2021/annual/a", run, "x" + run[1:], run[:12] + run[60:]]
+    lines += ["ab\u2028cdefg", "ab\u2028other", "unquestionable", "unquestionably", "unquestionable 1 2", "z" * 24, "z" * 25, f"{'y' * 24} b", f"{'😀' * 20}{run[:9]}"]
+    lines += [f"see https://example.com/{'q' * 20}/{i * 7919:09d}/{i * 104729:09d} now" for i in range(40)]
+    docs = as_docs(spark, lines)
+    hashes = docs.select("text", line_dedup.shingles(F.col("text")).alias("h")).collect()
+    made = spark.createDataFrame([(x, sorted(whole_set(x))) for x in lines], "text string, s array<string>")
+    want = made.select("text", F.sort_array(F.transform("s", lambda s: F.xxhash64(s))).alias("h")).collect()
+    assert {r.text: r.h for r in hashes} == {r.text: r.h for r in want}
+    forest, sets = brute.Forest(), [whole_set(x) for x in lines]
+    for i, j in brute.pairs_above(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b)):
+        forest.join(i, j)
+    want = {i for i in range(len(lines)) if forest.find(i) != i}
+    assert {2, 4} <= want and not want & {1, 5, 7, 9}
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert {r.doc_id for r in rows if r.n_dropped} == want
+
+
 # -- packing ------------------------------------------------------------
 def test_packing(spark, data):
     from tokenizers import Tokenizer

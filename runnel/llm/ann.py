@@ -5,7 +5,10 @@ codebook.  The books are fitted residual by residual on a bounded sample and
 refined by least squares; every vector is encoded by a beam search and stored
 as its codes and norm.  A query makes one table of inner products for each
 book, so scoring a vector adds up as many entries as there are books.  The best
-of every block are ranked again by exact inner products in double precision.
+of every block are ranked again by exact inner products in double precision, and
+with them all whose approximate score comes within SIGMAS standard errors of the
+k-th exact one, however many.  Equal vectors of a block are one candidate that
+stands for all their ids.
 
 Vectors that are null, all zero, empty, or hold null or non-finite components
 take no part, nor do those whose dimension isn't the table's most common one
@@ -28,6 +31,8 @@ from .common import cut, map_rows
 BOOKS, WORDS, BEAM, SAMPLE = 8, 256, 8, 16_384
 #: Vectors and queries in a block; candidates of a block that are ranked exactly.
 BLOCK, QUERIES, SHORTLIST = 8192, 2048, 128
+#: A score's standard error is that of a remainder in a random direction.
+SIGMAS = 3.0
 
 
 @dataclass
@@ -188,27 +193,52 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 ids, v = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float32).reshape(-1, dim)
                 codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1).astype(np.int64)
                 qids, q = np.frombuffer(qids, np.int64), np.frombuffer(qdata, np.float32).reshape(-1, dim)
+                # equal vectors are one candidate; its ids are members[start[g] : start[g + 1]], in order
+                rows_as = np.ascontiguousarray(v + np.float32(0)).view(np.dtype((np.void, 4 * dim))).ravel()
+                _, first, group = np.unique(rows_as, return_index=True, return_inverse=True)
+                order = np.lexsort((ids, group))
+                members, start = ids[order], np.searchsorted(group[order], np.arange(len(first) + 1))
+                low, high, single = members[start[:-1]], members[start[1:] - 1], np.diff(start) == 1
+                v, codes, norms = v[first], codes[first], np.frombuffer(norms, np.float32)[first]
                 # stored norms bring the approximation back to the vector's length
                 guess = own.decode(codes)
                 length = np.sqrt(np.einsum("nd,nd->n", guess, guess))
-                scale = np.frombuffer(norms, np.float32) / np.maximum(length, 1e-12)
+                scale = norms / np.maximum(length, 1e-12)
+                rest = np.linalg.norm(v - scale[:, None] * guess, axis=1)
                 exact = v.astype(float)
                 for at in range(0, len(qids), 128):
                     part, names = q[at : at + 128], qids[at : at + 128]
                     table = own.table(part)
-                    approx = np.zeros((len(ids), len(part)), np.float32)
+                    approx = np.zeros((len(first), len(part)), np.float32)
                     for j in range(codes.shape[1]):
                         approx += table[j][codes[:, j]]
                     approx *= scale[:, None]
-                    approx[ids[:, None] == names[None, :]] = -np.inf
-                    width = min(len(ids), shortlist)
-                    near = np.argpartition(-approx, width - 1, axis=0)[:width] if width < len(ids) else np.tile(np.arange(len(ids))[:, None], (1, len(part)))
+                    approx[(low[:, None] == names[None, :]) & (high[:, None] == names[None, :])] = -np.inf
+                    width = min(len(first), max(shortlist, k + 1))
+                    near = np.argpartition(-approx, width - 1, axis=0)[:width] if width < len(first) else np.tile(np.arange(len(first))[:, None], (1, len(part)))
                     for c, name in enumerate(names.tolist()):
-                        picked = near[:, c][ids[near[:, c]] != name]
-                        score = exact[picked] @ part[c].astype(float)
-                        order = np.lexsort((ids[picked], -score))[:k]
-                        for r in order.tolist():
-                            yield name, int(ids[picked[r]]), float(score[r])
+                        rough, p = approx[:, c], part[c].astype(float)
+                        # sums row by row: equal vectors of different blocks get equal scores
+                        picked = near[:, c][rough[near[:, c]] > -np.inf]
+                        score = (exact[picked] * p).sum(1)
+                        if width < len(first):
+                            error = SIGMAS * np.linalg.norm(p) / np.sqrt(dim) * rest
+                            more = rough + error >= np.partition(score, -k)[-k]
+                            more[picked] = False
+                            more = np.flatnonzero(more)
+                            picked, score = np.concatenate([picked, more]), np.concatenate([score, (exact[more] * p).sum(1)])
+                        if len(picked) > k:
+                            best = score >= np.partition(score, -k)[-k]
+                            picked, score = picked[best], score[best]
+                        alone = single[picked]
+                        found, scores = [low[picked[alone]]], [score[alone]]
+                        for g, value in zip(picked[~alone].tolist(), score[~alone].tolist(), strict=True):
+                            same = members[start[g] : start[g + 1]]
+                            found.append(same[same != name][:k])
+                            scores.append(np.full(len(found[-1]), value))
+                        found, scores = np.concatenate(found), np.concatenate(scores)
+                        for r in np.lexsort((found, -scores))[:k].tolist():
+                            yield name, int(found[r]), float(scores[r])
 
         return work
 

@@ -241,6 +241,26 @@ def test_search_at_a_tight_shortlist(spark):
     assert len(got) == 100 and hit / total >= 0.9
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.02])
+def test_search_near_large_groups(spark, noise):
+    """More copies, or near copies, lie nearest than a shortlist holds."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    copied = rng.permutation(6000)[:2000]
+    x[copied] = 3 * x[copied[0]] + noise * rng.normal(size=(2000, 32)).astype(np.float32)
+    asked = [int(v) for v in copied[:10]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in sorted(ann.search(df, df.where(F.col("vec_id").isin(asked)), k=20, shortlist=16).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for name in asked:
+        want = [v for v, _ in exact(x.astype(float), np.arange(6000), x[name].astype(float), name, 20)] if noise else sorted(set(copied.tolist()) - {name})[:20]
+        assert len(got[name]) == 20 and (noise or got[name] == want)
+        hit += len(set(got[name]) & set(want))
+    assert hit >= 0.9 * 20 * len(asked)
+
+
 def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (40, [])]

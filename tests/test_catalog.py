@@ -18,3 +18,15 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fold_of_all_events(spark, tmp_path):
+    """Past the first 2000 elements and the first Arrow batch."""
+    from pyspark.sql import functions as F
+
+    spark.range(25_000).select(F.col("id").alias("event_id"), ((F.col("id") * 7919) % 50_021 / 100).alias("value")).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    state, want = 0, []
+    for i in range(25_000):
+        state = (state * 31 + i * 7919 % 50_021) % 1009
+        want.append((i, state))
+    assert sorted(tuple(r) for r in QUERIES["ordered_fold_whole"](spark, str(tmp_path)).collect()) == want

@@ -56,6 +56,22 @@ def test_pii_added_and_redacted(spark):
     assert rows[2].text is None and rows[1].extra == 5 and pii.redact(docs).columns == docs.columns
 
 
+def test_pii_lists_and_neighbours(spark):
+    made = {
+        "SSN on file: 123-45-6789, 987-65-4321 and 222-33-4444.": "SSN on file: <NATIONAL>, <NATIONAL> and <NATIONAL>.",
+        "ssn: " + ", ".join(["123-45-6789"] * 9): "ssn: " + ", ".join(["<NATIONAL>"] * 9),
+        "part 123-45-6789 is a number": "part 123-45-6789 is a number",
+        "IBAN DE89370400440532013000 BIC COBADEFF": "IBAN <IBAN> BIC COBADEFF",
+        "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 EUR 100": "<IBAN> <IBAN> EUR 100",
+        "ZZ11 ABC DE89370400440532013000": "ZZ11 ABC <IBAN>",
+        "DE12 DE89 3704 0044 0532 0130 00": "DE12 <IBAN>",
+        "DE89 3704 0044 0532 0130 01 BIC": "DE89 3704 0044 0532 0130 01 BIC",
+    }
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert [got[i] for i in range(len(made))] == list(made.values())
+
+
 def test_pii_is_native(real):
     plan = pii.digest(real)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

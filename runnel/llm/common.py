@@ -17,8 +17,8 @@ from ..session import cut, shared_dir
 
 __all__ = ["Memory", "cut", "few", "map_rows", "settle", "shared_dir", "short_batches", "span_digest", "texts"]
 
-#: Most rows that are broadcast instead of shuffled.
-SMALL = 1_000_000
+#: Most bytes of rows that are broadcast instead of shuffled.
+SMALL = 32 << 20
 
 
 class Memory(dict):
@@ -42,9 +42,20 @@ class Memory(dict):
         self.clear()
 
 
+def _bytes(df: DataFrame):
+    """A row's size as Spark holds it: eight bytes a field, and what strings, binaries and arrays have beside."""
+    total = F.lit(8 + 8 * len(df.columns)).cast("bigint")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + F.coalesce(8 * F.size(name) + 16, F.lit(0))
+    return total
+
+
 def few(df: DataFrame) -> DataFrame:
-    """Mark a narrow, checkpointed side for broadcast if it is counted to be small; else it is shuffled."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+    """Mark a checkpointed side for broadcast if its rows are measured to be small; else it is shuffled."""
+    return F.broadcast(df) if (df.agg(F.sum(_bytes(df))).first()[0] or 0) <= SMALL else df
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -66,11 +77,11 @@ def short_batches(df: DataFrame, rows: int = 1000) -> None:
         conf.set(key, str(rows))
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with null texts as empty ones; the scan reads two columns."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text) with null texts as empty ones, and the columns ``keep``; the scan reads no others."""
     short_batches(docs)
     return docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(keep or [])
     )
 
 

@@ -74,7 +74,7 @@ def _meet(posts: DataFrame) -> DataFrame:
 
 
 def link_groups(
-    posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matches: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None, spread: int = 4, rounds: int = 6
+    posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matches: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None, turns: int = 12
 ) -> DataFrame:
     """(id, label): components of the verified links between ids that share a key.
 
@@ -87,13 +87,13 @@ def link_groups(
     A large group is not expanded into its pairs.  First each of its members is
     tried against a few pivots (those of lowest rank), which join a group of
     copies at once.  Members that are then in one component need no further
-    pair.  While many pairs across components are left, further pivots are
-    tried; at the end every pair across components is tried, so no link
-    between components is missed.  ``refine`` may then replace the keys of the
+    pair.  While more pairs across components are left than rows, and pivots
+    take a third of them or more, further pivots are tried; at the end every
+    pair across components is tried, so no link between components is missed.  ``refine`` may then replace the keys of the
     ids (id, label) in large groups by finer ones that all linked ids share.
     """
     links = labels = before = None
-    for turn in range(rounds):
+    for turn in range(turns):
         if labels is None:
             named = posts.withColumn("label", F.col("id"))
         else:
@@ -108,7 +108,7 @@ def link_groups(
         if not rows:
             return components(links) if links is not None else posts.select("id", F.col("id").alias("label")).limit(0)
         open_posts = settle(named.join(mixed.select("key", F.col("n").alias("members")), "key"))
-        if across <= spread * rows or largest < HOT or turn == rounds - 1 or before is not None and 4 * across > before:
+        if across <= rows or largest < HOT or turn == turns - 1 or before is not None and 3 * across > 2 * before:
             break  # few pairs are left, or pivots no longer help
         before = across
         order = F.struct("rank", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id")

@@ -211,10 +211,10 @@ def _choose(posts: DataFrame, percent: int) -> DataFrame:
     return rows.select("key", "id", "rank", "need", F.col("n").alias("size"), most.cast("int").alias("most")).where("most * 100 >= size * " + str(percent))
 
 
-def _sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _sets(docs: DataFrame, sources: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(id, tokens): the sets of the wanted fingerprints, each from one of its documents."""
-    sources = named.join(wanted, named["fp"] == wanted["id"], "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    keys = few(settle(sources.select(F.col("doc_id").alias("__id")).distinct()))
+    keys = sources.join(wanted, sources["fp"] == wanted["id"], "left_semi")
+    keys = few(settle(keys.select(F.col("doc_id").alias("__id")).distinct()))
     rows = texts(docs)
     rows = rows.join(keys, rows["doc_id"].eqNullSafe(keys["__id"]), "left_semi").select("text")
 
@@ -236,9 +236,11 @@ def _verifier(docs: DataFrame, named: DataFrame, n: int, percent: int):
     """Pairs (a, b) to those whose sets link.
 
     Sets are made from the texts when a pair first needs them, and kept in a
-    checkpoint; only those that pairs need are shuffled.
+    checkpoint; only those that pairs need are shuffled.  Copies of a set meet
+    in partial sums, before anything is joined by its name.
     """
     made: list[DataFrame] = []
+    sources = settle(named.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
 
     def make():
         def work(rows):
@@ -259,7 +261,7 @@ def _verifier(docs: DataFrame, named: DataFrame, n: int, percent: int):
             new = new.join(part.select("id"), "id", "left_anti")
         new = settle(new)
         if new.take(1):
-            made.append(cut(_sets(docs, named, new, n)))
+            made.append(cut(_sets(docs, sources, new, n)))
         if not made:
             return pairs
         sets = reduce(DataFrame.unionAll, made).join(few(ids), "id", "left_semi").withColumn("size", F.length("tokens"))

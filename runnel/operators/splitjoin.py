@@ -13,7 +13,7 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from ..stream import SEQ, Stream
+from ..stream import SEQ, Length, Stream
 
 Stage = Callable[[Stream], Stream]
 
@@ -40,7 +40,7 @@ def identity(s: Stream) -> Stream:
 
 def split_duplicate(n: int) -> Callable[[Stream], list[Stream]]:
     """Every branch sees every element: the same plan, reused."""
-    return lambda s: [s.derive(s.df, "duplicate", branch=i) for i in range(n)]
+    return lambda s: [s.derive(s.df, "duplicate", size=s.long, branch=i) for i in range(n)]
 
 
 def split_rr(n: int, weights: int | Sequence[int] = 1) -> Callable[[Stream], list[Stream]]:
@@ -53,7 +53,8 @@ def split_rr(n: int, weights: int | Sequence[int] = 1) -> Callable[[Stream], lis
             place = F.pmod(F.col(SEQ), F.lit(total))
             mine = s.df.where((place >= oi) & (place < oi + wi))
             seq = (_div(SEQ, total) * wi + place - oi).cast("bigint")
-            out.append(s.derive(mine.withColumn(SEQ, seq), "split", branch=i, weight=wi))
+            size = s.long.then(f"N div {total} * {wi} + least(greatest(N % {total} - {oi}, 0), {wi})")
+            out.append(s.derive(mine.withColumn(SEQ, seq), "split", size=size, branch=i, weight=wi))
         return out
 
     return apply
@@ -69,20 +70,20 @@ def join_rr(weights: int | Sequence[int] = 1, full_rounds: bool = False) -> Call
     def apply(branches: Sequence[Stream]) -> Stream:
         w = _weights(len(branches), weights)
         total = sum(w)
-        parts, ends = [], []
+        parts, ends, read = [], [], []
         for s, wi, oi in zip(branches, w, _starts(w), strict=True):
             if not wi:
                 continue
             seq = (_div(SEQ, wi) * total + oi + F.pmod(F.col(SEQ), F.lit(wi))).cast("bigint")
             parts.append(s.df.withColumn(SEQ, seq))
-            n = F.expr(f"n div {wi}") * total
-            end = n if full_rounds else n + oi + F.pmod(F.col("n"), F.lit(wi))
-            ends.append(s.length().select(end.cast("bigint").alias("__end")))
+            read.append(s.long)
+            ends.append(s.long.then(f"N div {wi} * {total}" if full_rounds else f"N div {wi} * {total} + {oi} + N % {wi}"))
         union = reduce(lambda a, b: a.unionByName(b), parts)
-        # one row of counts, so the broadcast has a fixed size
-        end = reduce(lambda a, b: a.unionAll(b), ends).agg(F.min("__end").alias("__end"))
-        kept = union.join(F.broadcast(end), F.col(SEQ) < F.col("__end")).drop("__end")
-        return branches[0].derive(kept, "join", *branches[1:], weights=tuple(w))
+        if len({x.expr for x in read}) == 1 and set(w) <= {0, 1}:
+            # branches of one length, one element at a time: every element is in a full round
+            return branches[0].derive(union, "join", *branches[1:], size=read[0].then(f"N * {total}"), weights=tuple(w))
+        end = Length.least(ends)
+        return branches[0].derive(end.bound(union), "join", *branches[1:], size=end, weights=tuple(w))
 
     return apply
 

@@ -9,8 +9,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..stream import SEQ, Stream
-from .windows import BLOCK
+from ..stream import BLOCK, SEQ, Stream
 
 
 def running(column: str, out: str = "v", how: str = "sum", block: int = BLOCK) -> Callable[[Stream], Stream]:
@@ -36,7 +35,7 @@ def running(column: str, out: str = "v", how: str = "sum", block: int = BLOCK) -
         joined = rows.withColumn("__i", inner).join(offsets, "__b")
         value = merge(F.col("__o"), F.col("__i"))
         keep = [c for c in s.df.columns if c != out]
-        return s.derive(joined.select(*keep, value.alias(out)), "running", pop=1, push=1)
+        return s.derive(joined.select(*keep, value.alias(out)), "running", size=s.size, pop=1, push=1)
 
     return apply
 

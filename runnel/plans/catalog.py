@@ -30,7 +30,7 @@ from ..operators import (
     where,
     zip_streams,
 )
-from ..sources import array_source, counter, countdown, lines
+from ..sources import array_source, counter, countdown, lines, rate_report
 from ..stream import Stream, from_dense, from_table
 from .text import load
 
@@ -316,21 +316,26 @@ def float_to_int(spark, d):
     return map_stream(up=S.round_half_up(x), cut=S.to_int(x))(s).df
 
 
+def _scaled(f: str, k: int) -> str:
+    return f"CAST(ROUND(CAST(CAST({f} AS FLOAT) AS DOUBLE) * {k}) AS BIGINT)"
+
+
 @query(
-    """SELECT event_id AS seq, CAST(ROUND(SIN(value) * 10000) AS BIGINT) AS sin_, CAST(ROUND(COS(value) * 10000) AS BIGINT) AS cos_, CAST(ROUND(ATAN(value) * 10000) AS BIGINT) AS atan_,
-    CAST(ROUND(ABS(-value) * 100) AS BIGINT) AS abs_, CAST(ROUND(value) AS BIGINT) AS round_, CAST(ROUND(SQRT(value) * 1000) AS BIGINT) AS sqrt_,
-    CAST(ROUND(EXP(-value / 100) * 10000) AS BIGINT) AS exp_, CAST(ROUND(LN(value) * 10000) AS BIGINT) AS log_, CAST(FLOOR(value) AS BIGINT) AS floor_,
-    CAST(ROUND(ATAN2(value, 3) * 10000) AS BIGINT) AS atan2_ FROM events"""
+    f"""WITH f AS (SELECT event_id AS seq, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x, CAST(CAST(-value AS FLOAT) / 100 AS DOUBLE) AS y FROM events)
+    SELECT seq, {_scaled("SIN(x)", 10000)} AS sin_, {_scaled("COS(x)", 10000)} AS cos_, {_scaled("ATAN(x)", 10000)} AS atan_, {_scaled("ABS(-x)", 100)} AS abs_,
+    {_scaled("FLOOR(x + 0.5)", 1)} AS round_, {_scaled("SQRT(x)", 1000)} AS sqrt_, {_scaled("EXP(y)", 10000)} AS exp_, {_scaled("LN(x)", 10000)} AS log_,
+    {_scaled("FLOOR(x)", 1)} AS floor_, {_scaled("ATAN2(x, 3)", 10000)} AS atan2_ FROM f"""
 )
 def math_builtins(spark, d):
-    """Values are scaled to integers; single precision holds these digits."""
-    s = from_dense(spark.read.parquet(f"{d}/events.parquet"), "event_id", F.col("value").alias("v"))
+    """The language's functions in single precision; values are scaled to integers."""
+    s = from_dense(spark.read.parquet(f"{d}/events.parquet"), "event_id", F.col("value").cast("float").alias("v"))
     v, m = F.col("v"), S.MATH
+    low = ((-v).cast("float") / F.lit(100)).cast("float")
     scale = lambda c, k: F.round(c.cast("double") * k).cast("bigint")
     return map_stream(
-        sin_=scale(F.sin(v), 10000), cos_=scale(F.cos(v), 10000), atan_=scale(F.atan(v), 10000), abs_=scale(F.abs(-v), 100),
-        round_=F.round(v).cast("bigint"), sqrt_=scale(F.sqrt(v), 1000), exp_=scale(F.exp(-v / 100), 10000), log_=scale(F.ln(v), 10000),
-        floor_=m["floor"](v).cast("bigint"), atan2_=scale(F.atan2(v, F.lit(3.0)), 10000),
+        sin_=scale(m["sin"](v), 10000), cos_=scale(m["cos"](v), 10000), atan_=scale(m["atan"](v), 10000), abs_=scale(m["abs"](-v), 100),
+        round_=scale(m["round"](v), 1), sqrt_=scale(m["sqrt"](v), 1000), exp_=scale(m["exp"](low), 10000), log_=scale(m["log"](v), 10000),
+        floor_=scale(m["floor"](v), 1), atan2_=scale(S.f_atan2(v, F.lit(3.0)), 10000),
     )(s).df
 
 
@@ -359,7 +364,9 @@ def become_switch(spark, d):
 
 @query("SELECT COUNT(*) AS n FROM lineitem")
 def rate_count(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n"))
+    """The throughput sink's count of a stream that is run for nothing else."""
+    rows = Stream(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey"))
+    return spark.range(1).select(F.lit(rate_report(rows)["samples"]).cast("bigint").alias("n"))
 
 
 @query("SELECT i AS seq, CAST(1000 - i AS INTEGER) AS v FROM RANGE(1000) t(i)")

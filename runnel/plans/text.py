@@ -26,7 +26,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as S
-from ..operators import decimate, expand, identity, join_rr, map_stream, ordered_fold, peek, pipeline, split_duplicate, split_rr, splitjoin, take
+from ..operators import decimate, expand, explode_each, identity, join_rr, map_stream, ordered_fold, peek, pipeline, split_duplicate, split_rr, splitjoin, take, where
 from ..sources import array_source, raw_file
 from ..stream import SEQ, Stream
 
@@ -53,6 +53,10 @@ class Leave(Exception):
     """``break`` (True) or ``continue`` (False)."""
 
 
+class Return(Exception):
+    """``return`` with a value."""
+
+
 @dataclass
 class Val:
     """A value of the language: a Python value, a list of values, or a column."""
@@ -77,6 +81,16 @@ class Decl:
     body: list
     init: tuple = ("block", [])
     work: tuple | None = None
+    prework: tuple | None = None
+
+
+@dataclass
+class Function:
+    """A function of the program: its result's type, parameters and body."""
+
+    kind: str
+    params: list
+    body: tuple
 
 
 class Parser:
@@ -117,17 +131,22 @@ class Parser:
                 self.need(",")
         return out
 
-    def program(self) -> tuple[dict[str, Decl], list]:
-        decls, shared = {}, []
+    def program(self) -> tuple[dict[str, Decl], list, dict[str, "Val"]]:
+        decls, shared, functions = {}, [], {}
         while self.toks[self.i][0] != "end":
             if self.eat("static"):
                 self.need("{")
                 while not self.eat("}"):
                     shared.append(self.block() if self.eat("init") else self.statement())
-            else:
+            elif self.toks[self.i + 1][1] == "->":
                 d = self.decl()
                 decls[d.name] = d
-        return decls, shared
+            else:
+                kind, name = self.take(), self.take()
+                self.need("(")
+                params = self.listed(")", lambda: (self.typed(), self.take()))
+                functions[name] = Val("function", Function(kind, params, self.block()))
+        return decls, shared, functions
 
     def typed(self) -> tuple[str, list]:
         kind, dims = self.take(), []
@@ -149,11 +168,12 @@ class Parser:
         while not self.eat("}"):
             if shape == "filter" and self.eat("init"):
                 d.init = self.block()
-            elif shape == "filter" and self.eat("work"):
+            elif shape == "filter" and self.see("work", "prework"):
+                word = self.take()
                 while self.see("push", "pop", "peek"):
                     self.take()
                     self.expr()
-                d.work = self.block()
+                setattr(d, word, self.block())
             else:
                 d.body.append(self.statement())
         return d
@@ -196,6 +216,8 @@ class Parser:
             return (word, how, weights)
         if self.see("break", "continue"):
             out = ("leave", self.take() == "break")
+        elif self.eat("return"):
+            out = ("return", self.expr())
         elif self.eat("push"):
             out = ("push", self.group())
         elif self.toks[self.i][1] in SQL and not self.toks[self.i + 1][1] == "(":
@@ -458,8 +480,38 @@ class Machine:
             return values[0]
         if name in S.MATH or name == "atan2":
             return _math(name, values)
+        held = next((scope[name] for scope in reversed(env) if name in scope), None)
+        if held is not None and held.kind == "function":
+            return self.call(held.x, values, env)
         raise NameError(f"there is no function {name}")
 
+    def call(self, f: Function, values: list[Val], env: list[dict]) -> Val:
+        """A function sees its parameters and what is shared, and gives one value."""
+        if len(values) != len(f.params):
+            raise ValueError(f"the function takes {len(f.params)} parameters")
+        bound = {n: _cast(v, kind) for ((kind, _), n), v in zip(f.params, values, strict=True)}
+        try:
+            self.run(f.body, [env[0], bound])
+        except Return as done:
+            return _cast(done.args[0], f.kind)
+        return self.blank(f.kind if f.kind != "void" else "int", [])
+
+    def branch(self, c: Column, s: tuple, env: list[dict]) -> None:
+        """Both sides of a condition on elements; what they assign and push depends on it."""
+        outer, sides = self.io.guard, []
+        for guard, side in ((c, s[2]), (~c, s[3])):
+            self.io.guard = guard if outer is None else outer & guard
+            seen = [{k: _copied(v) for k, v in scope.items()} for scope in env]
+            try:
+                self.run(side, [*seen, {}])
+            except (Leave, Return):
+                raise Dynamic from None
+            sides.append(seen)
+        self.io.guard = outer
+        for scope, then, other in zip(env, *sides, strict=True):
+            for name in scope:
+                scope[name] = _chosen(c, then[name], other[name])
+
     def run(self, s: tuple, env: list[dict]) -> None:
         op = s[0]
         if op == "block":
@@ -478,7 +530,13 @@ class Machine:
         elif op == "push":
             self.io.push(self.ev(s[1], env))
         elif op == "if":
-            self.run(s[2] if _cast(Val(*_pair(self.ev(s[1], env))), "boolean").x else s[3], [*env, {}])
+            test = _cast(self.ev(s[1], env), "boolean")
+            if test.open:
+                self.branch(test.x, s, env)
+            else:
+                self.run(s[2] if test.x else s[3], [*env, {}])
+        elif op == "return":
+            raise Return(self.ev(s[1], env))
         elif op in ("for", "do"):
             self.loop(s, [*env, {}])
         elif op == "leave":
@@ -502,10 +560,14 @@ class Machine:
                 self.ev(step, env)
 
 
-def _pair(v: Val) -> tuple:
-    if v.open:
-        raise Dynamic
-    return v.kind, v.x
+def _copied(v: Val) -> Val:
+    return Val(v.kind, [_copied(x) for x in v.x]) if isinstance(v.x, list) else v
+
+
+def _chosen(c: Column, a: Val, b: Val) -> Val:
+    if isinstance(a.x, list):
+        return Val(a.kind, [_chosen(c, x, y) for x, y in zip(a.x, b.x, strict=True)])
+    return a if a is b else Val(a.kind, F.when(c, _column(a)).otherwise(_column(b)))
 
 
 def _filled(made: Val, given: Val) -> Val:
@@ -538,9 +600,14 @@ class Firing:
         self.ins, self.outs, self.elements = ins, outs, elements
         self.pops = self.reach = 0
         self.pushed: list[Val] = []
+        #: The condition under which statements run just now, and that of each push.
+        self.guard: Column | None = None
+        self.guards: list[Column | None] = []
 
     def peek(self, k: int) -> Val:
         i = self.pops + k
+        if self.guard is not None and i >= self.reach:
+            raise Dynamic  # only a branch wants this element
         self.reach = max(self.reach, i + 1)
         if self.elements is None:
             return Val(self.ins, F.col(f"__e{i}"))
@@ -549,12 +616,15 @@ class Firing:
         return Val(self.ins, self.elements[i])
 
     def pop(self) -> Val:
+        if self.guard is not None:
+            raise Dynamic
         out = self.peek(0)
         self.pops += 1
         return out
 
     def push(self, v: Val) -> None:
         self.pushed.append(_cast(v, self.outs))
+        self.guards.append(self.guard)
 
     def say(self, v: Val) -> None:
         if self.outs != "void":
@@ -562,12 +632,13 @@ class Firing:
         spec = "%f" if v.kind in ("float", "double") else "%s" if v.kind == "string" else "%d"
         v = _cast(v, "int") if v.kind == "boolean" else v
         self.pushed.append(Val("string", F.format_string(spec, v.x) if v.open else spec % v.x))
+        self.guards.append(self.guard)
 
     def graph(self, s: tuple, env, machine) -> None:
         raise SyntaxError(f"{s[0]} stands in a filter's work")
 
 
-def _filter(spark: SparkSession, d: Decl, env: list[dict], limit: int) -> Callable[[Stream | None], Stream]:
+def _filter(spark: SparkSession, d: Decl, env: list[dict], limit: int | None) -> Callable[[Stream | None], Stream]:
     setup = Machine(Firing(d.ins, d.outs, []))
     fields: dict[str, Val] = {}
     for s in d.body:
@@ -576,13 +647,21 @@ def _filter(spark: SparkSession, d: Decl, env: list[dict], limit: int) -> Callab
     kind = SQL["string" if d.outs == "void" else d.outs]
     work, ins, outs = d.work, d.ins, d.outs
 
+    prework = d.prework
+    if prework is not None:
+        fields["__first"] = Val("boolean", True)
+
     def fire(state: dict, elements: list | None) -> Firing:
         io = Firing(ins, outs, elements)
-        Machine(io).run(work, [*env, state])
+        if prework is not None and state["__first"].x:
+            state["__first"] = Val("boolean", False)
+            Machine(io).run(prework, [*env, state])
+        else:
+            Machine(io).run(work, [*env, state])
         return io
 
     traced = None
-    if not _touches(work, {n for scope in [*env, fields] for n in scope}):
+    if prework is None and not _touches(work, {n for scope in [*env, fields] for n in scope}):
         try:
             traced = fire(copy.deepcopy(fields) if ins == "void" else fields, None)
         except Dynamic:
@@ -612,10 +691,10 @@ def _filter(spark: SparkSession, d: Decl, env: list[dict], limit: int) -> Callab
     if not traced.pops:
         raise ValueError("a filter that pops nothing never ends")
     p, k = traced.pops, max(traced.reach, traced.pops)
-    pushes = [_column(v) for v in traced.pushed]
+    pushes, guards = [_column(v) for v in traced.pushed], traced.guards
 
     def apply(s: Stream) -> Stream:
-        typed = Stream(s.df.select(SEQ, _typed(s, ins).alias("v")), s.trace)
+        typed = Stream(s.df.select(SEQ, _typed(s, ins).alias("v")), s.trace, s.long)
         if k == 1:
             seen = map_stream(F.col("v").alias("__e0"))(typed)
         elif k > p:
@@ -624,6 +703,11 @@ def _filter(spark: SparkSession, d: Decl, env: list[dict], limit: int) -> Callab
         else:
             held = decimate(p, {"a": F.array_sort(F.collect_list(F.struct(SEQ, "v")))})(typed)
             seen = map_stream(*(F.get("a", F.lit(i))["v"].alias(f"__e{i}") for i in range(k)))(held)
+        if any(g is not None for g in guards):
+            if len(pushes) == 1:
+                return map_stream(v=pushes[0])(where(guards[0])(seen))
+            cells = F.array(*(F.struct((F.lit(True) if g is None else g).alias("ok"), p.alias("v")) for g, p in zip(guards, pushes, strict=True)))
+            return explode_each(F.transform(F.filter(cells, lambda x: x["ok"]), lambda x: x["v"]))(seen)
         if len(pushes) == 1:
             return map_stream(v=pushes[0])(seen)
         if pushes:
@@ -640,8 +724,10 @@ def _typed(s: Stream, kind: str) -> Column:
     return S.wrap_i32(F.col("v")) if kind == "int" else F.col("v").cast(SQL[kind])
 
 
-def _source(spark: SparkSession, fire: Callable, fields: dict, traced: Firing | None, kind: str, limit: int) -> Stream:
+def _source(spark: SparkSession, fire: Callable, fields: dict, traced: Firing | None, kind: str, limit: int | None) -> Stream:
     """A constant firing repeats as an array; state is carried in one streaming task."""
+    if limit is None:
+        raise ValueError("a program with a source of its own is endless: load it with a limit")
     if traced is not None and traced.pushed:
         values = [v.x for v in traced.pushed]
         return take(limit)(array_source(spark, values, -(-limit // len(values)), kind))
@@ -677,10 +763,10 @@ class Graph:
 
 
 class Loader:
-    def __init__(self, spark: SparkSession, text: str, limit: int) -> None:
+    def __init__(self, spark: SparkSession, text: str, limit: int | None) -> None:
         self.spark, self.limit = spark, limit
-        self.decls, shared = Parser(text).program()
-        self.shared: dict[str, Val] = {}
+        self.decls, shared, functions = Parser(text).program()
+        self.shared: dict[str, Val] = dict(functions)
         for s in shared:
             machine = Machine(None)
             for x in s[1] if s[0] == "block" else [s]:
@@ -721,7 +807,7 @@ class Loader:
         return apply
 
 
-def load(spark: SparkSession, text: str, name: str | None = None, *args, limit: int = 1000) -> Callable[[Stream | None], Stream]:
+def load(spark: SparkSession, text: str, name: str | None = None, *args, limit: int | None = None) -> Callable[[Stream | None], Stream]:
     """The stage that the text declares by ``name``; without one, the program ``void->void``.
 
     Apply it to a stream with a column ``v``, or to None if it begins with a source.

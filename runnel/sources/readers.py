@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wrap_i32
-from ..stream import SEQ, Stream, from_dense, from_table
+from ..stream import SEQ, Length, Stream, from_dense, from_table
 
 RAW = {"int32": ("<i4", "int", pa.int32()), "float32": ("<f4", "float", pa.float32())}
 
@@ -18,13 +18,13 @@ RAW = {"int32": ("<i4", "int", pa.int32()), "float32": ("<f4", "float", pa.float
 def counter(spark: SparkSession, n: int, start: int = 0) -> Stream:
     """start, start + 1, ... as wrapping 32-bit integers, ``n`` of them."""
     df = spark.range(n).select(F.col("id").alias(SEQ), wrap_i32(F.col("id") + start).alias("v"))
-    return Stream(df, ("counter", (("push", 1),), ()))
+    return Stream(df, ("counter", (("push", 1),), ()), Length(str(n)))
 
 
 def countdown(spark: SparkSession, n: int) -> Stream:
     """n, n - 1, ..., 1; a start of 0 or less is still emitted once."""
     df = spark.range(max(n, 1)).select(F.col("id").alias(SEQ), wrap_i32(F.lit(n) - F.col("id")).alias("v"))
-    return Stream(df, ("countdown", (("push", 1),), ()))
+    return Stream(df, ("countdown", (("push", 1),), ()), Length(str(max(n, 1))))
 
 
 def array_source(spark: SparkSession, values: Sequence, repeats: int = 1, kind: str = "int") -> Stream:
@@ -32,7 +32,7 @@ def array_source(spark: SparkSession, values: Sequence, repeats: int = 1, kind:
     n = len(values)
     array = F.array(*(F.lit(v).cast(kind) for v in values))
     df = spark.range(n * repeats).select(F.col("id").alias(SEQ), F.get(array, F.pmod("id", F.lit(n)).cast("int")).alias("v"))
-    return Stream(df, ("array", (("push", n),), ()))
+    return Stream(df, ("array", (("push", n),), ()), Length(str(n * repeats)))
 
 
 def table(df: DataFrame, *order_by: str, dense: bool = False) -> Stream:
@@ -77,6 +77,28 @@ def raw_file(spark: SparkSession, path: str, kind: str = "int32", repeats: int =
     return Stream(df, ("raw file", (("push", 1),), ()))
 
 
+def user_source(spark: SparkSession, step, init: object, limit: int, kind: str = "int") -> Stream:
+    """A source kernel of the user: ``step(state) -> (state, values)`` until it gives no state, or ``limit`` elements.
+
+    State passes from firing to firing, so it runs in one streaming task.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for _ in batches:
+            state, at, rows = init, 0, []
+            while state is not None and at + len(rows) < limit:
+                state, made = step(state)
+                rows += made
+                if len(rows) >= 8192 or state is None or at + len(rows) >= limit:
+                    rows = rows[: limit - at]
+                    yield pd.DataFrame({SEQ: range(at, at + len(rows)), "v": rows})
+                    at, rows = at + len(rows), []
+
+    return Stream(spark.range(0, 1, 1, 1).mapInPandas(work, f"{SEQ} long, v {kind}"), ("user source", (), ()))
+
+
 def hello(spark: SparkSession, state: int) -> DataFrame:
     """A kernel without streams: it says hello once and finishes."""
     return spark.range(1).select(F.format_string("hello from %d", F.lit(state)).alias("line"))

@@ -66,3 +66,31 @@ def rate_report(s: Stream) -> dict[str, float]:
     took = time.time() - began
     n = seen.get["n"]
     return {"samples": n, "seconds": took, "rate": n / took if took else 0.0}
+
+
+def rate_reports(s: Stream, every: int) -> DataFrame:
+    """(report, samples): what the throughput sink says after each ``every`` elements; a rest says nothing."""
+    counts = s.df.groupBy(F.expr(f"{SEQ} div {every}").alias("report")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") == every).select("report", ((F.col("report") + 1) * every).alias("samples"))
+
+
+class RateSink:
+    """The throughput sink of a live stream, for ``foreachBatch``.
+
+    ``reports`` gets (samples, rate, seconds) whenever an interval is full; the
+    interval is then set to what arrives in about a second.
+    """
+
+    def __init__(self, every: int = 1_000_000) -> None:
+        self.every, self.samples, self.reports = every, 0, []
+        self.since, self.began = 0, time.time()
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        n = batch.count()
+        self.samples, self.since = self.samples + n, self.since + n
+        took = time.time() - self.began
+        if self.since >= self.every and took > 0:
+            rate = self.since / took
+            self.reports.append((self.samples, rate, took))
+            self.every = max(1, round(rate))
+            self.since, self.began = 0, time.time()

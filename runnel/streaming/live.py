@@ -37,6 +37,15 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     return df.sparkSession.table(name)
 
 
+def deliver(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
+    """Send all that is there through ``sink(batch, batch_id)``, a kernel without outputs, then stop.
+
+    Run again with the same ``checkpoint``, it goes on where it stopped: that
+    is pause and resume.
+    """
+    df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def windowed_counts(df: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Event-time tumbling counts with a watermark (beyond the stream language)."""
     timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

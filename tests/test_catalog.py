@@ -1,6 +1,7 @@
 import pytest
 from oracle import assert_same
 
+from runnel.plans import catalog_kernels  # noqa: F401
 from runnel.plans.catalog import ORACLES, QUERIES
 
 

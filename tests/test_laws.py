@@ -8,7 +8,7 @@ import simulator as sim
 from pyspark.sql import functions as F
 
 from runnel import functions as S
-from runnel.operators import decimate, fir, join_rr, map_stream, peek, pipeline, running, split_duplicate, split_rr, splitjoin, where, zip_streams
+from runnel.operators import decimate, fir, join_rr, map_stream, peek, pipeline, running, split_duplicate, split_rr, splitjoin, take, where, zip_streams
 from runnel.plans import Program, check_rates, to_dot
 from runnel.sources import counter, countdown, hello, raw_file, rate_report, write_raw
 from runnel.stream import Stream
@@ -73,6 +73,64 @@ def test_laws(spark):
     assert values(zip_streams([make(spark, data), make(spark, data[:9])], lambda a, b: {"v": a + b})) == [2 * x for x in range(9)]
 
 
+def test_nested_splitjoins_read_each_branch_once(spark, data):
+    """Reads grow with the branches; lengths are arithmetic, so a source is counted at most once a join."""
+    from runnel.stream import from_dense
+
+    events = spark.read.parquet(f"{data}/events.parquet")
+
+    def nest(depth, weights):
+        stage = map_stream(v=F.col("v") + 1)
+        for _ in range(depth):
+            stage = splitjoin(split_duplicate(2), [stage, stage], join_rr(weights))
+        return stage(from_dense(events, "event_id", F.col("user_id").alias("v")))
+
+    def scans(s):
+        return s.df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert [scans(nest(k, 1)) for k in (1, 2, 3, 4)] == [2, 4, 8, 16]
+    assert [scans(nest(k, 2)) for k in (1, 2, 3, 4)] == [3, 7, 15, 31]
+
+
+def test_lengths(spark):
+    """The arithmetic of lengths against what operators give."""
+    for n in (0, 1, 7, 23):
+        s = make(spark, list(range(n)))
+        made = [decimate(3)(s), decimate(3, offset=2)(s), decimate(4, {"v": F.sum("v")})(s), peek(5, {"v": F.max("v")}, pop=2)(s), *split_rr(3, [2, 1, 4])(s)]
+        made += [join_rr([1, 3, 2])(split_rr(3, [2, 1, 4])(s)), zip_streams([s, made[0].pipe(lambda x: x)], lambda a, b: {"v": a + b}), take(5)(s), where(F.col("v") % 3 == 1)(s)]
+        for x in made:
+            assert x.length().first()[0] == len(values(x))
+
+
+def test_renumber_and_long_taps(spark):
+    from runnel.operators import explode_each
+    from runnel.stream import renumber
+
+    rng = random.Random(5)
+    data = [rng.randrange(-(2**31), 2**31) for _ in range(200)]
+    s = make(spark, data)
+    kept = renumber(s.df.where("v % 3 = 0"), block=16).orderBy("seq").collect()
+    assert [(r.seq, r.v) for r in kept] == list(enumerate(x for x in data if x % 3 == 0))
+    twice = explode_each(F.expr("IF(v % 2 = 0, array(v, v), array())"))(s)
+    assert values(twice) == [x for x in data if x % 2 == 0 for _ in range(2)]
+    assert "Checkpoint" not in str(where(F.col("v") > 0)(s).df._jdf.queryExecution().optimizedPlan()) and values(where(F.lit(None).cast("boolean"))(s)) == []
+    taps = [rng.randrange(-9, 9) for _ in range(45)]
+    assert values(fir(taps, block=64)(s)) == sim.fir(data, taps)
+
+
+def test_rate_sink():
+    from runnel.sources import RateSink
+
+    class Batch:
+        def count(self):
+            return 40
+
+    sink = RateSink(100)
+    for k in range(3):
+        sink(Batch(), k)
+    assert [r[0] for r in sink.reports] == [120] and sink.every >= 1
+
+
 def test_scalars(spark):
     nan = float("nan")
     df = spark.createDataFrame([(nan, -2.5, -7)], "a double, b double, i int")

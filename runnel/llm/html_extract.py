@@ -9,6 +9,12 @@ headers of the page, footers, sidebars, notices, adverts, forms, comments) is
 left out before scoring.  Character references are decoded; white space inside
 a block becomes one space; blocks are joined by two line ends.
 
+Markup is read as HTML does: end tags may be missing where they are optional.
+An unwanted element whose end tag is required but missing is not left out, as
+nobody knows where it ends; what it holds is scored like the rest.  A ``<``
+that begins no whole tag is text.  Time and memory grow with the page's length
+only, so a very long page is read whole.
+
 Null and empty pages, and pages without text, give an empty text.  Rows are
 independent, so repeated rows repeat results.
 """
@@ -16,6 +22,7 @@ independent, so repeated rows repeat results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -35,8 +42,10 @@ PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of these ends an open paragraph.
 ENDS_P = BLOCK - frozenset("body html legend optgroup option td th tr tbody thead tfoot".split())
-#: Open elements that a new sibling of the same family ends, up to a border.
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Open elements that a new sibling ends, and the elements that it doesn't look beyond.
+SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements whose end tag is optional.
+OPEN_END = frozenset("p li dt dd td th tr tbody thead tfoot option optgroup html body".split())
 
 #: Names in class, id or role of what isn't the article.
 _BAD = re.compile(
@@ -47,16 +56,19 @@ _BAD = re.compile(
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|main-?content|post|entry|entry-?content|story|body|text|blog)(?=$|[\s_-])", re.I)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/><]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^<>"']|"[^"]*"|'[^']*')*+""")
+_LOOSE = re.compile(r"[^<>]*+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "good", "score", "names")
+    __slots__ = ("tag", "parent", "children", "score", "names", "bad", "chars", "linked", "commas")
 
-    def __init__(self, tag: str, parent: "Node | None", names: str = "") -> None:
-        self.tag, self.parent, self.children, self.score, self.names = tag, parent, [], 0.0, names
+    def __init__(self, tag: str, parent: "Node | None", names: str = "", bad: bool = False) -> None:
+        self.tag, self.parent, self.children, self.score, self.names, self.bad = tag, parent, [], 0.0, names, bad
+        self.chars = self.linked = self.commas = 0
 
 
 def _unwanted(tag: str, attributes: str, names: str) -> bool:
@@ -77,115 +89,168 @@ def _names(attributes: str) -> str:
     return " ".join((m.group(2) or m.group(3) or m.group(4) or "") for m in _NAMES.finditer(attributes) if m.group(1).lower() in ("class", "id", "role"))
 
 
+class Tree:
+    """The open elements, outermost first; what is asked of them takes no search."""
+
+    def __init__(self) -> None:
+        self.root = Node("html", None)
+        self.stack = [self.root]
+        self.blocks: Counter = Counter()  # open block elements by tag
+        self.inline: list[Counter] = [Counter()]  # open inline elements since each open block
+        self.articles = 0
+
+    @property
+    def here(self) -> Node:
+        return self.stack[-1]
+
+    def open(self, node: Node) -> None:
+        self.stack.append(node)
+        if node.tag in BLOCK:
+            self.blocks[node.tag] += 1
+            self.inline.append(Counter())
+            self.articles += node.tag in ("article", "main")
+        else:
+            self.inline[-1][node.tag] += 1
+
+    def pop(self, ended: bool) -> Node:
+        """Close the innermost; not ``ended`` if its own end tag is missing."""
+        node = self.stack.pop()
+        if node.tag in BLOCK:
+            self.blocks[node.tag] -= 1
+            self.inline.pop()
+            self.articles -= node.tag in ("article", "main")
+        else:
+            self.inline[-1][node.tag] -= 1
+        if not ended and node.tag not in OPEN_END:
+            node.bad = False
+        return node
+
+    def close(self, tag: str) -> None:
+        """An end tag; an inline one doesn't close blocks, and a stray one is dropped."""
+        if not (self.blocks[tag] if tag in BLOCK else self.inline[-1][tag]):
+            return
+        while self.here.tag != tag:
+            self.pop(False)
+        self.pop(True)
+
+    def make_room(self, tag: str) -> None:
+        """End what a start tag ends: an open paragraph, an open sibling."""
+        if tag in ENDS_P and self.blocks["p"]:
+            k = len(self.stack) - 1 - sum(self.inline[-1].values())
+            if self.stack[k].tag == "p":
+                while len(self.stack) > k:
+                    self.pop(False)
+        if tag in SIBLINGS:
+            family, border = SIBLINGS[tag]
+            if any(self.blocks[x] for x in family):
+                k = len(self.stack) - 1
+                while k and self.stack[k].tag not in family and self.stack[k].tag not in border:
+                    k -= 1
+                if k and self.stack[k].tag in family:
+                    while len(self.stack) > k:
+                        self.pop(False)
+
+
 def parse(html: str) -> Node:
     """A tree without unwanted parts.  Children are nodes or strings."""
-    root = Node("html", None)
-    here, at, low = root, 0, None
-    skip_tag, skip_depth = "", 0
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue  # inside raw text that has been passed over
-        if at < m.start() and not skip_depth:
-            here.children.append(html[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+    tree, at, size = Tree(), 0, len(html)
+    unclosed: set[str] = set()  # raw elements without an end tag ahead
+    attributes_at = _ATTRIBUTES
+    seek = 0
+    while True:
+        start = html.find("<", seek)
+        if start < 0:
+            break
+        seek = start + 1
+        mark = html[start + 1 : start + 2]
+        if mark in ("!", "?"):
+            comment = html.startswith("<!--", start)
+            end = html.find("-->" if comment else ">", start + (4 if comment else 2))
+            if end < 0 and not comment:
+                break  # no tag ends behind this place
+            tree.here.children.append(html[at:start])
+            at = seek = size if end < 0 else end + (3 if comment else 1)
             continue
-        tag = tag.lower()
-        closing = m.group(1) == "/"
-        if skip_depth:
-            if tag == skip_tag:
-                if closing:
-                    skip_depth -= 1
-                elif not m.group(3).endswith("/"):
-                    skip_depth += 1
+        m = _TAG.match(html, start)
+        if m is None:
             continue
-        if closing:
+        end = attributes_at.match(html, m.end()).end()
+        if end < size and html[end] in "\"'":  # a quote that nothing closes: from here on quotes are characters
+            attributes_at = _LOOSE
+            end = attributes_at.match(html, m.end()).end()
+        if end == size:
+            break
+        if html[end] == "<":
+            continue
+        if at < start:
+            tree.here.children.append(html[at:start])
+        at = seek = end + 1
+        tag, attributes = m.group(1).lower(), html[m.end() : end]
+        if mark == "/":
             if tag == "br":
-                here.children.append(Node("br", here))
-                continue
-            node = here
-            while node is not None and node.tag != tag:
-                # an inline end tag doesn't close blocks; a stray one is dropped
-                if node.tag in BLOCK and tag not in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+                tree.here.children.append(Node("br", tree.here))
+            else:
+                tree.close(tag)
             continue
+        if tag == "body":
+            tree.close("head")
         if tag in ("html", "body"):
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
-                here.children.append(Node(tag, here))
+                tree.here.children.append(Node(tag, tree.here))
             continue
-        attributes = m.group(3)
         if tag in RAW:
-            if low is None:
-                low = html.lower()
-            end = low.find(f"</{tag}", at)
-            if end < 0:
-                at = len(html)
+            if tag not in unclosed:
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                if stop is not None:
+                    at = seek = stop.end()
+                    continue
+                unclosed.add(tag)
+            if tag in ("script", "style"):
+                at = size  # they have no text whatever follows
                 break
-            stop = html.find(">", end)
-            at = len(html) if stop < 0 else stop + 1
             continue
         names = _names(attributes)
-        if tag in ENDS_P:
-            node = here
-            while node is not None and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
-        if tag in SIBLINGS:
-            family, border = SIBLINGS[tag]
-            node, found = here, None
-            while node is not None and node.tag not in border:
-                if node.tag in family:
-                    found = node
-                node = node.parent
-            if found is not None:
-                here = found.parent
-        if _unwanted(tag, attributes, names) or tag == "header" and not _inside_article(here):
-            if not attributes.endswith("/"):
-                skip_tag, skip_depth = tag, 1
-                if tag in BLOCK:  # what stands before and after isn't one block
-                    here.children.append(Node("hr", here))
-            continue
-        node = Node(tag, here, names)
-        here.children.append(node)
-        if not attributes.endswith("/") or tag in BLOCK:
-            here = node
-    if at < len(html) and not skip_depth:
-        here.children.append(html[at:])
+        tree.make_room(tag)
+        bad = _unwanted(tag, attributes, names) or tag == "header" and not tree.articles
+        node = Node(tag, tree.here, names, bad)
+        tree.here.children.append(node)
+        if not attributes.endswith("/") or tag in BLOCK and not bad:
+            tree.open(node)
+    if at < size:
+        tree.here.children.append(html[at:])
+    while len(tree.stack) > 1:
+        tree.pop(False)
+    return _pruned(tree.root)
+
+
+def _pruned(root: Node) -> Node:
+    """Unwanted nodes go; what stands before and after an unwanted block isn't one block."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c if isinstance(c, str) or not c.bad else Node("hr" if c.tag in BLOCK else "span", node) for c in node.children]
+        stack += [c for c in node.children if not isinstance(c, str) and c.children]
     return root
 
 
-def _inside_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
-def _measure(node: Node) -> tuple[int, int, int]:
-    """(characters, characters in links, commas) of a subtree, iteratively."""
-    chars = linked = commas = 0
-    stack = [(node, node.tag == "a")]
+def measure(root: Node) -> None:
+    """Characters, characters in links and commas of every subtree, children first."""
+    order, stack = [], [root]
     while stack:
-        one, link = stack.pop()
-        for child in one.children:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if not isinstance(c, str)]
+    for node in reversed(order):
+        chars = linked = commas = 0
+        for child in node.children:
             if isinstance(child, str):
-                n = len(child.strip())
-                chars += n
+                chars += len(child.strip())
                 commas += child.count(",") + child.count("，") + child.count("、")
-                if link:
-                    linked += n
             else:
-                stack.append((child, link or child.tag == "a"))
-    return chars, linked, commas
+                chars, linked, commas = chars + child.chars, linked + child.linked, commas + child.commas
+        node.chars, node.linked, node.commas = chars, chars if node.tag == "a" else linked, commas
 
 
 def _own_text(node: Node) -> bool:
@@ -195,7 +260,7 @@ def _own_text(node: Node) -> bool:
 def best_container(root: Node) -> Node:
     """The element with most points after the discount for links."""
     scored: dict[int, Node] = {}
-    measured: dict[int, tuple[int, int, int]] = {}
+    measure(root)
     stack = [root]
     while stack:
         node = stack.pop()
@@ -203,7 +268,7 @@ def best_container(root: Node) -> Node:
         prose = node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main") and _own_text(node)
         if not prose:
             continue
-        chars, linked, commas = measured[id(node)] = _measure(node)
+        chars, linked, commas = node.chars, node.linked, node.commas
         if chars < 25 or linked > 0.5 * chars:
             continue
         points = 1 + commas + min(chars // 100, 3)
@@ -217,8 +282,7 @@ def best_container(root: Node) -> Node:
             place.score += points * share
     best, top = root, -1.0
     for node in scored.values():
-        chars, linked, _ = measured.get(id(node)) or _measure(node)
-        node.score *= 1 - linked / max(1, chars)
+        node.score *= 1 - node.linked / max(1, node.chars)
         if node.score > top:
             best, top = node, node.score
     return best
@@ -235,7 +299,7 @@ def _kept(best: Node) -> list[Node]:
         if s is best or s.score >= limit:
             out.append(s)
         elif s.tag in HEADING or s.tag in PARAGRAPH or s.tag in ("div", "section"):
-            chars, linked, _ = _measure(s)
+            chars, linked = s.chars, s.linked
             if s.tag in HEADING and s is not best or chars > 80 and linked < 0.25 * chars or 0 < chars <= 80 and not linked and s.tag == "p":
                 out.append(s)
     return out

@@ -104,6 +104,38 @@ def test_html():
     assert html_extract.main_text("<p>a &amp;lt; b&#x41;&nbsp;c") == "a &lt; bA c"
 
 
+ARTICLE = "<article><h1>Title</h1><p>First paragraph, long enough to be scored, with commas.</p><p>Second paragraph, also long, with commas, and more words.</p></article>"
+BODY = "Title\n\nFirst paragraph, long enough to be scored, with commas.\n\nSecond paragraph, also long, with commas, and more words."
+
+
+@pytest.mark.parametrize(
+    "before",
+    ['<p class="share">Share this', '<ul><li class="tag">news<li class="tag">more</ul>', "<nav><a href=/>Home</a>", "<label>Name", '<div class="sidebar"><a href=x>x</a>', "<form>", "<head><title>T</title>", "<button>", "<a <b <c", "<!doctype html", "<p title='x", "<select><option>a<option>b", "İ" * 40 + "<script>var x = '<p>';</script>"],
+)
+def test_html_with_missing_ends(before):
+    """Whatever isn't closed before it, the article stays whole."""
+    assert html_extract.main_text(f"<html><body>{before}{ARTICLE}</body></html>").endswith(BODY)
+
+
+def test_html_leaves_out_what_is_closed():
+    for bad in ('<nav><p>Menu, with words, that is as long as a paragraph.</p></nav>', '<div class="comments"><p>I agree, with commas, and at some length, as readers do.</p></div>', '<p class="share">Share this', "<SCRIPT>x</SCRIPT >", "<label>Mail <input></label>"):
+        for page in (f"{bad}{ARTICLE}", f"{ARTICLE}{bad}", ARTICLE.replace("</h1>", f"</h1>{bad}")):
+            assert html_extract.main_text(f"<body><div>{page}</div></body>") == BODY, page
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<li>x", "<b>", "<p>x", "</i>", "<!x", "<title>", "<a '\"", "< ", "<table><td>", "<nav>", "<ul><li>", "&amp;", "<i></b>"])
+def test_html_takes_linear_time(piece):
+    import time
+
+    took = []
+    for n in (30_000, 240_000):
+        page = ARTICLE + piece * (n // len(piece))
+        began = time.process_time()
+        html_extract.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 32 * max(took[0], 0.03), took
+
+
 def test_html_of_pages(spark, data):
     """Generated pages keep their article in <article>, with <p>, <b>, <br> and <h1> inside."""
     import re

@@ -1,7 +1,10 @@
 """Media columns: Netpbm and BMP to arrays, area resizing, NPY tiles, difference hashes.
 
 Null or empty media decode to nothing (a null result); malformed media raise
-``ValueError`` in the codec and give a null result in the column operator.
+``ValueError`` in the codec and give a null result in the column operator.  A
+null text is stored as an empty one; a very long text is a tall image.  Rows
+are independent, so repeated rows repeat results, and equal texts are stored
+alike.
 """
 
 from __future__ import annotations
@@ -165,15 +168,22 @@ def tiles(media: DataFrame, id_col: str, bytes_col: str, side: int = 32) -> Data
 
 
 def pack_text(text: str) -> tuple[int, bytes]:
-    """(bytes of the text, stored image): zero-padded rows of 64 grey samples."""
+    """(bytes of the text, stored image) of the zero-padded text.
+
+    A payload that fills rows of 64 RGB pixels is a bitmap, any other a grey
+    map with rows of 64 samples.
+    """
     raw = text.encode("utf-8", "replace")
     rows = max(1, -(-len(raw) // ROW))
     padded = np.frombuffer(raw.ljust(rows * ROW, b"\0"), np.uint8)
-    return len(raw), encode_pgm(padded.reshape(rows, ROW))
+    return len(raw), encode_pgm(padded.reshape(rows, ROW)) if rows % 3 else encode_bmp(padded.reshape(rows // 3, ROW, 3))
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each whole text as an image, read it back and describe what was read."""
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", side: int = 16) -> DataFrame:
+    """Store each whole text as an image, read it back and describe what was read.
+
+    ``feature`` is the difference hash, ``tile`` the side x side NPY tile.
+    """
 
     def make():
         def work(rows):
@@ -183,10 +193,10 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 payload = image.tobytes()
                 yield (
                     doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-ROW:]), len(stored),
-                    hashlib.sha256(stored).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image)).hexdigest(),
+                    hashlib.sha256(stored).hexdigest(), difference_hash(image), npy_tile(image, side),
                 )
 
         return work
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
     return map_rows(texts(docs, id_col, text_col), make, schema)

@@ -2,11 +2,14 @@
 
 A scan proposes spans; every value is hashed, and the hashes are counted over
 the whole corpus by distinct repository and owner.  A value that many owners
-hold is a widely copied example; one that belongs to a single owner, or a few,
-looks live.  Only hashes travel, never the values.
-
-Null and empty texts have no spans.  Rows are scanned one by one, so repeated
-rows and ids give repeated results.
+hold is a widely copied example.  One that belongs to a single owner, or a few,
+looks live if it stays in few repositories; if it is all over its owner's
+repositories it is spread, a template or a shared credential.  Only hashes
+travel, never the values.
+
+Null and empty texts have no spans.  A null repository or owner counts as one
+of that name.  Rows are scanned one by one, so repeated rows and ids give
+repeated results.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, span_digest
+from .common import cut, few, map_rows, settle, span_digest
 
 KINDS = ["assign", "access", "hex", "key", "service"]
 BASE = KINDS[:3]
@@ -45,11 +48,14 @@ def scan_text(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", owner_col: str | None = "source") -> DataFrame:
+def _named(docs: DataFrame, what: str | Column | None) -> Column:
+    column = docs[what] if isinstance(what, str) else F.lit(None) if what is None else what
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: str | Column | None = "source", owner: str | Column | None = "source") -> DataFrame:
     """(doc_id, repo, owner, found): ``found`` lists kind, start, stop and the hash of the value."""
-    repo = F.col(repo_col).cast("string") if repo_col else F.lit(None).cast("string")
-    owner = F.col(owner_col).cast("string") if owner_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(repo, F.lit("")).alias("repo"), F.coalesce(owner, F.lit("")).alias("owner"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _named(docs, repo).alias("repo"), _named(docs, owner).alias("owner"))
 
     def make():
         def work(rows):
@@ -75,19 +81,23 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return repos.join(owners, "hash")
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 2, **columns: str) -> DataFrame:
-    """One row for each document: its spans, their digest, and how many look live or copied.
+def find_secrets(docs: DataFrame, max_owners: int = 2, max_repos: int = 3, **columns: str | Column | None) -> DataFrame:
+    """One row for each document: its spans, their digest, and how many look live, spread or copied.
 
-    ``n_live`` counts spans whose value at most ``max_owners`` owners hold.
+    A value is copied if more than ``max_owners`` owners hold it, spread if
+    fewer do in more than ``max_repos`` repositories, else live.  Only values
+    of several repositories are joined; what most values are needs no row.
     """
-    scanned = cut(
-        scan(docs, **columns).withColumn("row", F.monotonically_increasing_id())
-    )
+    scanned = cut(scan(docs, **columns).withColumn("row", F.monotonically_increasing_id()))
     spans = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", F.col("f.hash").alias("hash"))
-    judged = spans.join(ownership(scanned), "hash").groupBy("row").agg(
-        F.count_if(F.col("n_owners") <= max_owners).alias("n_live"), F.count_if(F.col("n_owners") > max_owners).alias("n_copied"), F.max("n_owners").alias("most_owners")
-    )
-    listed = scanned.join(judged, "row", "left").select("doc_id", "found", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_live", "n_copied", "most_owners")))
+    several = few(settle(ownership(scanned).where("n_repos > 1 OR n_owners > 1").select("hash", "n_repos", "n_owners")))
+    owners, repos = F.coalesce("n_owners", F.lit(1)), F.coalesce("n_repos", F.lit(1))
+    judged = spans.join(several, "hash", "left").groupBy("row").agg(
+        F.count_if((owners <= max_owners) & (repos <= max_repos)).alias("n_live"), F.count_if((owners <= max_owners) & (repos > max_repos)).alias("n_spread"),
+        F.count_if(owners > max_owners).alias("n_copied"), F.max(owners).alias("most_owners"), F.max(repos).alias("most_repos"),
+    )
+    names = ("n_live", "n_spread", "n_copied", "most_owners", "most_repos")
+    listed = scanned.join(judged, "row", "left").select("doc_id", "found", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names))
 
     def make():
         def work(rows):
@@ -99,4 +109,4 @@ def find_secrets(docs: DataFrame, max_owners: int = 2, **columns: str) -> DataFr
 
         return work
 
-    return map_rows(listed, make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_copied long, most_owners long")
+    return map_rows(listed, make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_live long, n_spread long, n_copied long, most_owners long, most_repos long")

@@ -37,10 +37,6 @@ class Memory(dict):
         self[key] = value
         return value
 
-    def forget(self) -> None:
-        self.old = {}
-        self.clear()
-
 
 def _bytes(df: DataFrame):
     """A row's size as Spark holds it: eight bytes a field, and what strings, binaries and arrays have beside."""

@@ -13,7 +13,6 @@ Null and empty texts have the end id alone.  Repeated rows are packed each.
 from __future__ import annotations
 
 import re
-import threading
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
@@ -28,9 +27,6 @@ from .common import Memory, cut, texts
 
 END = 1
 SEQUENCE = 2048
-#: Seconds without a task after which a worker drops its memo.
-IDLE = 3.0
-
 
 #: Texts of these characters alone need no normalisation but lower case.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÿ]*")
@@ -46,25 +42,12 @@ class WordTokenizer:
     which the tokenizer never joins.
     """
 
-    def __init__(self, path: str, memory: int = 700_000) -> None:
+    def __init__(self, path: str, memory: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
         self.known = Memory(lambda word: np.array(own.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), memory)
 
-        self.timer: threading.Timer | None = None
-
-    def __enter__(self) -> "WordTokenizer":
-        if self.timer:
-            self.timer.cancel()
-        return self
-
-    def __exit__(self, *_) -> None:
-        """Tasks of a stage share the memo; a worker that stays idle gives its memory back."""
-        self.timer = threading.Timer(IDLE, self.known.forget)
-        self.timer.daemon = True
-        self.timer.start()
-
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if _PLAIN.fullmatch(text) and "<|" not in text:
@@ -135,10 +118,7 @@ def pieces(docs: DataFrame, tokenizer: Callable[[], Callable[[str], bytes]], siz
     def run(batches):
         from pyspark import TaskContext
 
-        with tokenizer() as encode:
-            yield from cut_all(batches, encode, np.zeros(size + 1, np.int64), TaskContext.get().partitionId())
-
-    def cut_all(batches, encode, seen, part):
+        encode, seen, part = tokenizer(), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, html_extract, line_dedup, media, near_join, packing, pii, quality, secrets, sentencepiece_fst
 
@@ -71,7 +72,8 @@ def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.find_secrets(_documents(spark, d))
+    """A source is an owner, what it has in one language a repository."""
+    return secrets.find_secrets(_documents(spark, d), repo=F.concat_ws("/", "source", "lang"), owner="source")
 
 
 QUERIES: dict[str, Query] = {

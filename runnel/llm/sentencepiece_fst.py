@@ -1,21 +1,29 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model compiles to three machines: the normaliser (dummy prefix and the
-escape of spaces), the piece lexicon (a trie whose arcs carry tropical weights)
-and byte fallback.  A text is normalised, composed with the lexicon into a
-lattice, and the shortest path over (min, +) is its encoding.
+The model compiles to three machines.  The normaliser is a transducer over
+spaces and other characters (dummy prefix, escape, squeeze).  The lexicon is a
+trie whose arcs read a character and whose final states emit a piece at its
+tropical weight.  Byte fallback has an arc for any character that is no piece;
+it emits the bytes' pieces.  A text is normalised, composed with lexicon and
+fallback into a lattice, and the shortest path over (min, +) is its encoding.
 
 A unigram model weighs an arc with the piece's negative score.  A BPE model
 does not minimise a sum of scores: its encoding is the one path on which every
-two neighbours are what BPE itself makes of their concatenation.  That is a
-bigram acceptor, so there arcs weigh 0 if the pair is compatible and infinity
-if it is not, and the shortest path is the only finite one.
+two neighbours are what BPE itself makes of their concatenation.  So its
+lattice is composed with one machine more, the acceptor of pairs: a state is a
+position and the piece before it, an arc weighs 0 if the pair is compatible and
+infinity if it is not, and the shortest path is the only finite one.
 
 Arcs never cross a place whose two characters stand side by side in no piece.
 Characters that pieces connect, directly or through others, form families; a
 text is cut where a family ends and before each run of spaces (if no piece
 holds a space after another character).  The parts are encoded on their own and
-remembered in a table of bounded size.  Null texts count as empty, and empty texts have no tokens.
+remembered in a table of bounded size; a very long text is many such parts, or
+one long lattice of bounded arcs a position.  The normaliser's machine is run
+as string replacements, which the tests hold against it.  Null texts count as
+empty, and empty texts have no tokens; rows are independent, so repeated rows
+repeat results.  Refused with ValueError: models with a character map or with
+user-defined symbols.
 """
 
 from __future__ import annotations
@@ -61,6 +69,70 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class Normaliser:
+    """The machine before the lexicon: state and class of a character to the next state and output.
+
+    Spaces that are squeezed are held back until a character follows.
+    """
+
+    START, TEXT, HELD = range(3)
+
+    def __init__(self, dummy_prefix: bool, escape: bool, squeeze: bool) -> None:
+        space = SPACE if escape else " "
+        first = space if dummy_prefix else ""
+        start, text, held = self.START, self.TEXT, self.HELD
+        # (state, is a space): (next state, what is put out before the character, whether the character is)
+        self.arcs = {(start, False): (text, first, True), (text, False): (text, "", True), (held, False): (text, space, True)}
+        if squeeze:
+            self.arcs |= {(start, True): (start, "", False), (text, True): (held, "", False), (held, True): (held, "", False)}
+        else:
+            self.arcs |= {(start, True): (text, first + space, False), (text, True): (text, space, False)}
+
+    def __call__(self, text: str) -> str:
+        state, out = self.START, []
+        for c in text:
+            state, put, kept = self.arcs[state, c == " "]
+            out.append(put + c if kept else put)
+        return "".join(out)
+
+
+class Lexicon:
+    """The trie of pieces: ``arcs[state]`` reads a character, ``final[state]`` is the piece that ends there or -1."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final = [-1]
+        for piece, number in pieces.items():
+            state = 0
+            for c in piece:
+                after = self.arcs[state].get(c)
+                if after is None:
+                    after = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append(-1)
+                state = after
+            self.final[state] = number
+
+    def compose(self, text: str) -> list[list[tuple[int, int]]]:
+        """The lattice of a text: for each position the (start, piece) of the arcs that end there.
+
+        A character that is no piece has the fallback's arc, piece -1.
+        """
+        arcs, final, size = self.arcs, self.final, len(text)
+        lattice: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+        for start in range(size):
+            state, end = arcs[0].get(text[start]), start + 1
+            if state is None or final[state] < 0:
+                lattice[end].append((start, -1))
+            while state is not None:
+                if final[state] >= 0:
+                    lattice[end].append((start, final[state]))
+                if end == size:
+                    break
+                state, end = arcs[state].get(text[end]), end + 1
+        return lattice
+
+
 @dataclass
 class Transducer:
     """A compiled model: ``encode`` and ``decode``."""
@@ -78,7 +150,8 @@ class Transducer:
     def __post_init__(self) -> None:
         usable = {NORMAL, USER_DEFINED}
         self.lexicon = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in usable}
-        self.longest = max(map(len, self.lexicon), default=1)
+        self.trie = Lexicon(self.lexicon)
+        self.machine = Normaliser(self.dummy_prefix, self.escape, self.squeeze)
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.fallback = self.fallback and len(self.bytes) == 256
@@ -150,6 +223,7 @@ class Transducer:
 
     # -- normaliser ------------------------------------------------------
     def normalise(self, text: str) -> str:
+        """What the normaliser's machine puts out."""
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -178,55 +252,57 @@ class Transducer:
         before, piece = pair
         return self._merge(piece) == [piece] if before is None else self._merge(before + piece) == [before, piece]
 
-    def _shortest(self, word: str) -> list[str]:
-        """The shortest path through the lattice of one part.
+    def _shortest(self, word: str) -> list[tuple[int, int, int]]:
+        """The arcs (start, end, piece) of the shortest path through the lattice of one part.
 
-        The best path to each position is enough as a state: a unigram arc has
-        no memory, and a BPE prefix has one encoding only, so there the first
-        arc of finite weight is the arc.
+        ``best`` holds the states of each position that a finite path reaches:
+        the weight, the arc that leads there and the piece it reads.  A unigram
+        arc has no memory, so a position is one state.  With pairs a state is a
+        position and a piece, but a prefix has one BPE encoding only, so again
+        one state is finite, and arcs from no other are looked at.
         """
-        n, longest, lookup = len(word), self.longest, self.lexicon.get
-        last: list[str | None] = [None] * (n + 1)
-        if self.kind == BPE:
-            pairs = self._pairs
-            for end in range(1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
+        lattice = self.trie.compose(word)
+        best: list[tuple[float, int, int, str | None] | None] = [None] * len(lattice)
+        best[0] = (0.0, -1, -1, None)
+        by_pairs, pairs = self.kind == BPE, self._pairs
+        for end in range(1, len(lattice)):
+            least = None
+            for start, number in lattice[end]:
+                before = best[start]
+                if before is None:
+                    continue
+                if by_pairs:
                     piece = word[start:end]
-                    if (lookup(piece) is not None or start + 1 == end) and pairs[last[start], piece]:
-                        last[end] = piece
+                    if pairs[before[3], piece]:
+                        least = (0.0, start, number, piece)
                         break
-        else:
-            cost: list[float] = [0.0] + [INF] * n
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    known = lookup(piece)
-                    if known is None and start + 1 < end:
-                        continue
-                    w = cost[start] + (self.penalty if known is None else -self.scores[known])
-                    if w < cost[end]:
-                        cost[end], last[end] = w, piece
-        out, at = [], n
+                else:
+                    weight = before[0] + (self.penalty if number < 0 else -self.scores[number])
+                    if least is None or weight < least[0]:
+                        least = (weight, start, number, None)
+            best[end] = least
+        path, at = [], len(word)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+            _, start, number, _ = best[at]
+            path.append((start, at, number))
+            at = start
+        return path[::-1]
 
     # -- byte fallback ---------------------------------------------------
-    def _emit(self, path: list[str]) -> list[int]:
+    def _emit(self, word: str, path: list[tuple[int, int, int]]) -> list[int]:
+        """The output of a path; a fallback arc emits the bytes of its character."""
         ids: list[int] = []
-        for piece in path:
-            j = self.lexicon.get(piece)
-            if j is not None:
-                ids.append(j)
+        for start, end, number in path:
+            if number >= 0:
+                ids.append(number)
             elif self.fallback:
-                ids.extend(self.bytes[b] for b in piece.encode())
+                ids.extend(self.bytes[b] for b in word[start:end].encode())
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
         return ids
 
     def _word(self, word: str) -> bytes:
-        return np.array(self._emit(self._shortest(word)), "<i4").tobytes()
+        return np.array(self._emit(word, self._shortest(word)), "<i4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids, int32."""

@@ -1,6 +1,7 @@
 """Personal data, secrets, sentence pieces, media: held against brute force and round trips."""
 
 import hashlib
+import io
 import random
 from zlib import crc32
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 from runnel.llm import media, pii, registry, secrets
-from runnel.llm.sentencepiece_fst import BYTE, NORMAL, UNKNOWN, Transducer, decode
+from runnel.llm.sentencepiece_fst import BYTE, NORMAL, UNKNOWN, Lexicon, Transducer, decode
 
 PARTS = [
     "a@b.com", "a@b.com@c.de", "x_y@c.de", "@", ".", "+", " ", "  ", "-", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.002.3.4", "4111 1111 1111 1111",
@@ -86,7 +87,7 @@ def test_secrets(made, real):
             want = brute.secrets(texts[r.doc_id])
             assert r.base_sha256 == brute.digest(want, secrets.KINDS)[1], texts[r.doc_id][:200]
             assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in want) for k in secrets.BASE]
-            assert r.n_live + r.n_copied == len([x for x in r.spans.split(",") if x])
+            assert r.n_live + r.n_spread + r.n_copied == len([x for x in r.spans.split(",") if x])
 
 
 def test_ownership(spark):
@@ -96,6 +97,16 @@ def test_ownership(spark):
     assert got[0] == (0, 1, 6) and got[10] == (1, 0, 1)
 
 
+def test_owners_and_repositories_differ(spark):
+    """One owner's value in many repositories is neither live in one place nor copied."""
+    rows = [(i, "token = 'sharedshared'", "o1", f"o1/r{i}") for i in range(5)] + [(7, "token = 'sharedshared', secret: 'ownownownown'", "o1", "o1/r0"), (8, None, "o2", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place string")
+    got = {r.doc_id: (r.n_live, r.n_spread, r.n_copied, r.most_owners, r.most_repos) for r in secrets.find_secrets(docs, repo="place").collect()}
+    assert got[0] == (0, 1, 0, 1, 5) and got[7] == (1, 1, 0, 1, 5) and got[8] == (0, 0, 0, 0, 0)
+    counted = {(r.n_seen, r.n_repos, r.n_owners) for r in secrets.ownership(secrets.scan(docs, repo="place")).collect()}
+    assert counted == {(6, 5, 1), (1, 1, 1)}
+
+
 # -- sentence pieces ----------------------------------------------------
 def model_bytes():
     with open(registry.tokenizer_path("piece_bpe_32k.model"), "rb") as f:
@@ -122,6 +133,26 @@ def test_pieces_match_the_library(spark, data, real):
     assert {r.doc_id: r.text for r in decode(tokens, model_bytes()).collect()} == {**{r.doc_id: whole[r.doc_id] for r in rows[:20]}, None: ""}
 
 
+def test_normaliser_machine():
+    rng = random.Random(8)
+    for dummy in (False, True):
+        for escape in (False, True):
+            for squeeze in (False, True):
+                fst = Transducer(["<unk>", "a"], [0.0, -1.0], [UNKNOWN, NORMAL], dummy_prefix=dummy, escape=escape, squeeze=squeeze, fallback=False)
+                for _ in range(60):
+                    t = "".join(rng.choice(" ab") for _ in range(rng.randrange(0, 9)))
+                    assert fst.machine(t) == fst.normalise(t), (t, dummy, escape, squeeze)
+
+
+def test_lattice_holds_every_piece():
+    lexicon = {"a": 0, "ab": 1, "b": 2, "bca": 3}
+    trie = Lexicon(lexicon)
+    text = "abcabx"
+    got = {(start, end, piece) for end, arcs in enumerate(trie.compose(text)) for start, piece in arcs}
+    want = {(i, j, lexicon[text[i:j]]) for i in range(6) for j in range(i + 1, 7) if text[i:j] in lexicon}
+    assert got == want | {(i, i + 1, -1) for i, c in enumerate(text) if c not in lexicon}
+
+
 def test_unigram_shortest_path():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "aba"]
     scores = [0.0, -2.0, -3.0, -3.5, -4.0, -4.5, -4.2, -9.0]
@@ -146,6 +177,12 @@ def test_unigram_shortest_path():
 
 
 # -- media --------------------------------------------------------------
+def shares(n, cells):
+    """How much of each of n samples lies in each cell, by interval overlap; rows sum to 1."""
+    wide = n / cells
+    return np.array([[max(0.0, min((c + 1) * wide, i + 1) - max(c * wide, i)) for i in range(n)] for c in range(cells)]) / wide
+
+
 def test_text_media_round_trip(made, real):
     for docs in (made, real):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -157,6 +194,16 @@ def test_text_media_round_trip(made, real):
             payload = raw + b"\0" * (64 * max(1, -(-len(raw) // 64)) - len(raw))
             assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
             assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == crc32(payload[-64:])
+            tile = np.load(io.BytesIO(r.tile))
+            if len(payload) < 4000:
+                image = np.frombuffer(payload, np.uint8).astype(float)
+                image = image.reshape(-1, 64, 3) @ [0.299, 0.587, 0.114] if len(payload) % 192 == 0 else image.reshape(-1, 64)
+                cells = shares(len(image), 8) @ image @ shares(64, 9).T
+                falls = (cells[:, :-1] - cells[:, 1:]).ravel()
+                bits = np.array([int(b) for b in f"{int(r.feature, 16):064b}"])
+                assert (bits == (falls > 0))[np.abs(falls) > 1e-5].all() and not bits[np.abs(falls) < 1e-9].any()
+                assert np.abs(tile - shares(len(image), 16) @ image @ shares(64, 16).T).max() <= 0.5001
+            assert tile.shape == (16, 16) and tile.dtype == np.uint8
             assert seen.setdefault(texts[r.doc_id], (r.feature, r.media_sha256)) == (r.feature, r.media_sha256)
 
 

@@ -136,9 +136,9 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def difference_hash(image: np.ndarray, size: int = 8) -> str:
     """Hex of size x size bits: whether each cell is brighter than its right neighbour."""
-    # Rounding makes a flat image flat, whatever the order of the sums was.
-    small = np.round(area_resize(grey(image), size, size + 1), 6)
-    return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
+    small = area_resize(grey(image), size, size + 1)
+    # the margin makes a flat image flat, whatever the order of the sums was
+    return np.packbits(small[:, :-1] - small[:, 1:] > 1e-6).tobytes().hex()
 
 
 def npy_tile(image: np.ndarray, side: int = 32) -> bytes:

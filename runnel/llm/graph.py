@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -55,22 +55,34 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 HOT, PIVOTS = 16, 4
 
 
-def _meet(posts: DataFrame) -> DataFrame:
+def _meet(posts: DataFrame, matches: bool) -> DataFrame:
     """(a, b, need) at each key where members of two components meet.
 
-    Components are paired at a key first, then their members, so two members
-    of one component are never brought together.
+    Components are paired at a key first, then the smaller one's members are
+    brought in, then the other's, so two members of one component are never
+    brought together.  With ``matches`` a member x that meets a component at
+    K keys and needs l of them is left out if K < l.  Else the j = l // 2 keys
+    at which most of the component's members stand are passed over, and a pair
+    needs j keys less: whoever shares l of K keys shares l - j of any K - j.
     """
-    met = posts.groupBy("key", "label").agg(F.min("size").alias("s"), F.max("most").alias("m"), F.count(F.lit(1)).alias("c"))
-    met = met.toDF("key", "l1", "s1", "m1", "c1").join(met.toDF("key", "l2", "s2", "m2", "c2"), "key")
-    # the smaller component's members are brought in first
+    counts = posts.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    met = posts.groupBy("key", "label").agg(F.min("size").alias("s"), F.max("most").alias("m"), F.min("need").alias("q"), F.count(F.lit(1)).alias("n")).join(counts, "label")
+    met = met.select("key", "label", "s", "m", "q", "n", "c")
+    met = met.toDF("key", "l1", "s1", "m1", "q1", "n1", "c1").join(met.toDF("key", "l2", "s2", "m2", "q2", "n2", "c2"), "key")
+    # which of two is the smaller doesn't depend on the key
     smaller = (F.col("c1") < F.col("c2")) | (F.col("c1") == F.col("c2")) & (F.col("l1") < F.col("l2"))
-    met = met.where(smaller & F.expr("s1 <= m2 AND s2 <= m1")).select("key", F.col("l1").alias("la"), F.col("l2").alias("lb"))
+    met = met.where(smaller & F.expr("s1 <= m2 AND s2 <= m1")).select("key", F.col("l1").alias("la"), F.col("l2").alias("lb"), "s2", "m2", "q2", "n2")
     sides = posts.select("key", "label", "id", "need", "size", "most")
     one, two = sides.toDF("key", "la", "x", "nx", "sx", "mx"), sides.toDF("key", "lb", "y", "ny", "sy", "my")
-    one = met.join(one, ["key", "la"])
+    one = met.join(one, ["key", "la"]).where("sx <= m2 AND s2 <= mx")
+    if matches:
+        own = Window.partitionBy("x", "lb")
+        one = one.select("key", "lb", "x", "nx", "sx", "mx", F.count(F.lit(1)).over(own).alias("k"), F.min(F.least("nx", "q2")).over(own).alias("l"), F.row_number().over(own.orderBy("n2", "key")).alias("place"))
+        one = one.withColumn("j", F.expr("l div 2").cast("int")).where("k >= l AND place <= k - j")
+    else:
+        one = one.withColumn("j", F.lit(0))
     fit = (one["key"] == two["key"]) & (one["lb"] == two["lb"]) & (F.col("sx") <= F.col("my")) & (F.col("sy") <= F.col("mx"))
-    return one.join(two, fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny").alias("need"))
+    return one.join(two, fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.least("nx", "ny") - F.col("j")).alias("need"))
 
 
 def link_groups(
@@ -124,10 +136,10 @@ def link_groups(
         links = found if links is None else links.unionAll(found)
         labels = settle(components(links))
     if refine is None:
-        pairs = _meet(open_posts)
+        pairs = _meet(open_posts, matches)
     else:
         finer = refine(open_posts.where(F.col("members") >= HOT).select("id", "label").distinct())
-        pairs = _meet(open_posts.where(F.col("members") < HOT)).unionAll(_meet(finer))
+        pairs = _meet(open_posts.where(F.col("members") < HOT), False).unionAll(_meet(finer, False))
     if matches:
         pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
     else:

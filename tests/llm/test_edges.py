@@ -84,6 +84,32 @@ def test_pipeline_decisions(spark, data):
             assert all(rows[i].text == t for i, t in before.items() if not brute.pii(t) and "-" not in t)
 
 
+def test_run_packs_what_the_stages_keep(spark, data):
+    """run() end to end: every kept document in gapless pieces, in sequences that aren't overfull."""
+    from collections import defaultdict
+
+    small = "/root/testdata/sf0.001"
+    rows = corpus_pipeline.run(spark, small).collect()
+    kept = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = spark.createDataFrame(stage(spark, kept, small).toPandas(), "doc_id long, text string, lang string, source string, n_chars long")
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(registry.tokenizer_path("word_bpe_49k.json"))
+    want = {r.doc_id: len(own.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in kept.collect()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(want)
+    for parts, whole in [*((sorted(p), want[i]) for i, p in pieces.items()), *((sorted(p), None) for p in sequences.values())]:
+        at = 0
+        for start, length in parts:
+            assert start == at
+            at += length
+        assert at == whole if whole else at <= 2048
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><a href=/>Home</a></header><div id="cookie-notice">We use cookies, and more cookies, and yet more cookies, to serve you.</div>
 <div class="wrap"><div class="sidebar"><p>Side text, with commas, that is rather long and would count as prose if it were let in.</p></div>

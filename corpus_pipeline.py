@@ -60,16 +60,31 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained scores, MinHash components and tokenisation have no SQL; the tests hold run() against brute force.
+#: Trained scores, MinHash components and tokenisation have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``, with a table in the shared folder after each."""
+    """Apply all stages to ``documents``, with a table in the shared folder after each.
+
+    Null and empty texts, repeated rows and empty tables are each operator's:
+    null texts stay null until they are packed as empty ones.  The last table
+    is the result and stays; the others go when their successor is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = ""
     for i, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if done:
+            _delete(spark, done)
+        done = out
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove one of run()'s own tables, wherever Spark keeps it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

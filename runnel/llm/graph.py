@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -85,26 +85,14 @@ def _meet(posts: DataFrame, matches: bool) -> DataFrame:
     return one.join(two, fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.least("nx", "ny") - F.col("j")).alias("need"))
 
 
-def link_groups(
-    posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matches: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None, turns: int = 12
-) -> DataFrame:
-    """(id, label): components of the verified links between ids that share a key.
-
-    ``posts(key, id, rank, need, size, most)`` holds distinct (key, id).  Two
-    ids meet at a key if neither's ``size`` exceeds the other's ``most`` there.
-    ``verify`` turns candidate pairs (a, b) into those that are links.  With
-    ``matches``, a pair is a candidate if it meets at as many keys as the
-    smaller ``need`` of the two.
+def _try_pivots(
+    posts: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None, labels: DataFrame | None, turns: int, lots: Column
+) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(open, links, labels): the posts at keys where components still meet (None: nowhere), with their label and their key's ``members``.
 
-    A large group is not expanded into its pairs.  First each of its members is
-    tried against a few pivots (those of lowest rank), which join a group of
-    copies at once.  Members that are then in one component need no further
-    pair.  While more pairs across components are left than rows, and pivots
-    take a third of them or more, further pivots are tried; at the end every
-    pair across components is tried, so no link between components is missed.  ``refine`` may then replace the keys of the
-    ids (id, label) in large groups by finer ones that all linked ids share.
+    Each of a key's ``lots`` has a pivot.
     """
-    links = labels = before = None
+    before = None
     for turn in range(turns):
         if labels is None:
             named = posts.withColumn("label", F.col("id"))
@@ -118,14 +106,13 @@ def link_groups(
         mixed = settle(sizes.where("labels > 1"))
         rows, across, largest = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.max("n")).first()
         if not rows:
-            return components(links) if links is not None else posts.select("id", F.col("id").alias("label")).limit(0)
+            return None, links, labels
         open_posts = settle(named.join(mixed.select("key", F.col("n").alias("members")), "key"))
         if across <= rows or largest < HOT or turn == turns - 1 or before is not None and 3 * across > 2 * before:
             break  # few pairs are left, or pivots no longer help
         before = across
         order = F.struct("rank", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id")
         hot = open_posts.where(F.col("members") >= HOT)
-        lots = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
         pivots = hot.groupBy("key", lots.alias("lot")).agg(F.min(F.struct(order.alias("o"), "label", "size", "most")).alias("p"))
         pivots = pivots.select("key", F.col("p.o.id").alias("pivot"), F.col("p.label").alias("pl"), F.col("p.size").alias("ps"), F.col("p.most").alias("pm"))
         tried = hot.join(pivots, "key").where("label != pl AND size <= pm AND ps <= most")
@@ -135,11 +122,42 @@ def link_groups(
             break
         links = found if links is None else links.unionAll(found)
         labels = settle(components(links))
-    if refine is None:
-        pairs = _meet(open_posts, matches)
-    else:
-        finer = refine(open_posts.where(F.col("members") >= HOT).select("id", "label").distinct())
-        pairs = _meet(open_posts.where(F.col("members") < HOT), False).unionAll(_meet(finer, False))
+    return open_posts, links, labels
+
+
+def link_groups(
+    posts: DataFrame, verify: Callable[[DataFrame], DataFrame], matches: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None, turns: int = 12
+) -> DataFrame:
+    """(id, label): components of the verified links between ids that share a key.
+
+    ``posts(key, id, rank, need, size, most)`` holds distinct (key, id).  Two
+    ids meet at a key if neither's ``size`` exceeds the other's ``most`` there.
+    ``verify`` turns candidate pairs (a, b) into those that are links.  With
+    ``matches``, a pair is a candidate if it meets at as many keys as the
+    smaller ``need`` of the two.
+
+    A large group is not expanded into its pairs.  First each of its members is
+    tried against a few pivots (those of lowest rank), which join a group of
+    copies at once.  Members that are then in one component need no further
+    pair.  While more pairs across components are left than rows, and pivots
+    take a third of them or more, further pivots are tried; at the end every
+    pair across components is tried, so no link between components is missed.
+    ``refine`` (not with ``matches``) may then replace the posts of the ids in
+    large groups by posts at finer keys, of which any two linked ids share one.
+    These get pivots as well, one for each eleventh of difference in size: a
+    member that shares no key with its group's pivot would else be compared
+    with all of the group's component.
+    """
+    open_posts, links, labels = _try_pivots(posts, verify, None, None, turns, F.pmod(F.xxhash64("id"), F.lit(PIVOTS)))
+    if refine is not None and open_posts is not None:
+        large = open_posts.where(F.col("members") >= HOT).select("id").distinct()
+        if large.take(1):
+            small = open_posts.where(F.col("members") < HOT).select("key", "id", "rank", "need", "size", "most")
+            # at a fine key, parts of lines meet whole ones, and would be pivots that few can link with
+            open_posts, links, labels = _try_pivots(small.unionByName(refine(large)), verify, links, labels, turns, F.floor(8 * F.log2("size")))
+    if open_posts is None:
+        return labels if labels is not None else posts.select("id", F.col("id").alias("label")).limit(0)
+    pairs = _meet(open_posts, matches)
     if matches:
         pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
     else:

@@ -78,6 +78,29 @@ def test_union_find(spark):
     assert got == {x: forest.find(x) for x in nodes}
 
 
+def test_pivots_at_finer_keys(spark):
+    """Strangers that share only a finer key with their group's pivot aren't paired with all of its component."""
+    one, other, few = range(300), [*range(1, 300), *range(500, 531)], [0, *range(2000, 2015)]
+    rows = [(key, i, min(i, 1), 1, 10, 12) for key, ids in enumerate((one, other, few)) for i in ids]
+    posts = spark.createDataFrame(rows, "key long, id long, rank long, need int, size int, most int")
+    asked = []
+
+    def verify(pairs):  # all link with 0, but for a part of its line (500) and those at the last key
+        pairs = pairs.localCheckpoint()
+        asked.append(pairs.count())
+        return pairs.where("a = 0 AND b < 2000 AND b != 500")
+
+    def refine(ids):
+        part = F.col("id") == 500
+        size, most = F.when(part, 2).otherwise(10), F.when(part, 2).otherwise(12)
+        rank = F.when(part, -1).when(F.col("id") == 0, 0).otherwise(1).cast("bigint")
+        return ids.where("id < 2000").select("*", F.lit(9).cast("bigint").alias("key"), rank.alias("rank"), F.lit(1).alias("need"), size.alias("size"), most.alias("most"))
+
+    got = {r.id: r.label for r in graph.link_groups(posts, verify, refine=refine).collect()}
+    assert {i for i in got if got[i] == 0} == {*range(300), *range(501, 531)}
+    assert max(asked) <= graph.PIVOTS * len(rows)
+
+
 def line_set(line):
     """Shingles from the definition, by position: words, steps of 12 in longer words, every character of runs."""
     out, end = set(), 0

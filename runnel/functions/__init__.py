@@ -149,6 +149,16 @@ def _single(fn):
     return lambda x: fn(_c(x).cast("double")).cast("float")
 
 
+def to_long(x) -> Column:
+    """A bigint; null where the value has none (NaN, the infinities, beyond 64 bits)."""
+    return _c(x).try_cast("bigint")
+
+
+def _floor(d: Column) -> Column:
+    """The largest whole double below; from 2^52 on all are whole, and a bigint has neither NaN nor the infinities."""
+    return F.when(F.abs(d) < F.lit(2.0**52), F.floor(d).cast("double")).otherwise(d)
+
+
 def f_log(x) -> Column:
     """Natural logarithm with -Infinity at 0 and NaN below, as in C."""
     d = _c(x).cast("double")
@@ -167,7 +177,7 @@ def f_atan2(y, x) -> Column:
 def f_round(x) -> Column:
     """Half away from zero."""
     d = _c(x).cast("double")
-    return (F.signum(d) * F.floor(F.abs(d) + 0.5)).cast("float")
+    return (F.signum(d) * _floor(F.abs(d) + 0.5)).cast("float")
 
 
 #: The language's one-argument functions, all single precision.
@@ -180,5 +190,5 @@ MATH = {
     "sqrt": _single(F.sqrt),
     "exp": _single(F.exp),
     "log": f_log,
-    "floor": _single(lambda d: F.floor(d).cast("double")),
+    "floor": _single(_floor),
 }

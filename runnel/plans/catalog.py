@@ -327,11 +327,11 @@ def _scaled(f: str, k: int) -> str:
     {_scaled("FLOOR(x)", 1)} AS floor_, {_scaled("ATAN2(x, 3)", 10000)} AS atan2_ FROM f"""
 )
 def math_builtins(spark, d):
-    """The language's functions in single precision; values are scaled to integers."""
+    """The language's functions in single precision; values are scaled to integers, null where there is none (the log of 0)."""
     s = from_dense(spark.read.parquet(f"{d}/events.parquet"), "event_id", F.col("value").cast("float").alias("v"))
     v, m = F.col("v"), S.MATH
     low = ((-v).cast("float") / F.lit(100)).cast("float")
-    scale = lambda c, k: F.round(c.cast("double") * k).cast("bigint")
+    scale = lambda c, k: S.to_long(F.round(c.cast("double") * k))
     return map_stream(
         sin_=scale(m["sin"](v), 10000), cos_=scale(m["cos"](v), 10000), atan_=scale(m["atan"](v), 10000), abs_=scale(m["abs"](-v), 100),
         round_=scale(m["round"](v), 1), sqrt_=scale(m["sqrt"](v), 1000), exp_=scale(m["exp"](low), 10000), log_=scale(m["log"](v), 10000),

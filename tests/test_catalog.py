@@ -31,3 +31,16 @@ def test_fold_of_all_events(spark, tmp_path):
         state = (state * 31 + i * 7919 % 50_021) % 1009
         want.append((i, state))
     assert sorted(tuple(r) for r in QUERIES["ordered_fold_whole"](spark, str(tmp_path)).collect()) == want
+
+
+def test_math_of_zero_and_beyond(spark, tmp_path):
+    """A log of 0, NaN and values past 64 bits have no integer: null, as in the SQL with a cast that may fail."""
+    import math
+
+    rows = list(enumerate([0.0, 0.01, 7.25, -3.2, 2.0**62, 1e30, math.inf, math.nan]))
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["math_builtins"](spark, str(tmp_path))
+    assert_same(df, ORACLES["math_builtins"].replace("CAST(ROUND", "TRY_CAST(ROUND"), str(tmp_path))
+    got = {r.seq: r for r in df.collect()}
+    assert got[0].log_ is None and got[0].cos_ == 10000 and got[1].log_ == -46052
+    assert got[4].floor_ == got[4].round_ == 2**62 and got[7].floor_ is got[7].round_ is None
